@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, packing
 from .quality_rules import repetition_rules
+from .token_counts import count_tokens
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cold cache each time, so that its cost is that of a corpus not met before."""
+    return count_tokens(common.documents(spark, sf_dir))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(common.documents(spark, sf_dir))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized_pieces(common.documents(spark, sf_dir))
+    digest = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(common.written(digest, "pieces"))
+
+
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

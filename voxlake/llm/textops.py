@@ -151,6 +151,20 @@ def seeded(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix64(h ^ (doc.astype(U64) * U64(0x8EBC6AF09C88C6E3)))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and each row's place among them."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.empty(len(k), dtype=bool)
+    new[0] = True
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return k[new], order[new], back
+
+
 def repeats(keys: np.ndarray) -> np.ndarray:
     """For each key: does it occur twice or more."""
     out = np.zeros(len(keys), dtype=bool)

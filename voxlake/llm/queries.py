@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing
+from . import common, packing, url_filter
+from .classifier import score_documents
+from .mixing import mix
 from .quality_rules import repetition_rules
 from .token_counts import count_tokens
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.fit(url_filter.term_labels(pages)))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cold cache each time, so that its cost is that of a corpus not met before."""
     return count_tokens(common.documents(spark, sf_dir))
@@ -25,9 +32,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.written(digest, "pieces"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(common.documents(spark, sf_dir)).drop("source")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_mixing": op7_mixing,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}

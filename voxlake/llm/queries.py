@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, url_filter
+from . import common, packing, topk, url_filter, warc
 from .classifier import score_documents
 from .mixing import mix
 from .quality_rules import repetition_rules
@@ -32,10 +32,19 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.written(digest, "pieces"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir)).drop("source")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
@@ -45,7 +54,9 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_topk_search": op6_topk_search,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import common, packing, topk, url_filter, warc
 from .classifier import score_documents
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .quality_rules import repetition_rules
 from .token_counts import count_tokens
 
@@ -32,6 +33,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.written(digest, "pieces"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(common.documents(spark, sf_dir))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
@@ -42,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+    return warc.round_trip(common.table(spark, sf_dir, "pages")).drop("target_uri")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_topk_search": op6_topk_search,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,

@@ -109,7 +109,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     left, n_blocks = _blobs(clean(rows), ROW_BLOCK)
     right, _ = _blobs(clean(queries).dropDuplicates(["id", "v"]), QUERY_BLOCK)
-    right = right.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("block"))
+    right = right.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
     pairs = left.join(right, ["dim", "block"]).select("dim", "ids", "vectors", "q_ids", "q_vectors")
 
     def run(batches):

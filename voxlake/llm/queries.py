@@ -10,6 +10,7 @@ from .classifier import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_rules import repetition_rules
+from .substring_dedup import repeated_passages
 from .token_counts import count_tokens
 
 
@@ -50,6 +51,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages")).drop("target_uri")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(common.documents(spark, sf_dir))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op6_topk_search": op6_topk_search,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}

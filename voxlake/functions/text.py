@@ -28,10 +28,17 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """NFKC form.  Only texts that it may change are handed to Python; the others pass as nulls."""
-    touched = F.when(text.rlike(f"[{U.unstable()}]"), text)
+    touched = F.when(text.rlike(U.PERHAPS_UNSTABLE), text)
     return F.coalesce(_nfkc(touched), text)
 
 
+def by_reach(text: Column, make) -> Column:
+    """``make(arabic, digits)`` with the short classes where a text has no later character, else with the whole
+    ones: a long class costs a test of each of its ranges for every character."""
+    short = make(U.arabic_letters_short(), U.decimal_digits_short())
+    return F.when(text.rlike(f"[^\\x00-\\x{{{U.SHORT_LAST:X}}}]"), make(U.arabic_letters(), U.decimal_digits())).otherwise(short)
+
+
 def normalize_raw(text: Column) -> Column:
     """White space collapsed, ends stripped."""
     return F.trim(F.regexp_replace(text, f"[{U.SPACE}]+", " "))
@@ -45,7 +52,7 @@ def fold(text: Column) -> Column:
     """The class filter of ``audit_normalize``, for text already in NFKC: marks go, letters and digits
     stay, all else becomes a blank; then ASCII letters are lower-cased."""
     bare = F.regexp_replace(text, f"[{U.MARKS}]", "")
-    kept = F.regexp_replace(bare, f"[^{U.arabic_letters()}{U.decimal_digits()}A-Za-z]+", " ")
+    kept = by_reach(bare, lambda arabic, digits: F.regexp_replace(bare, f"[^A-Za-z{digits}{arabic}]+", " "))
     return F.trim(F.translate(kept, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
@@ -71,7 +78,7 @@ def _count(text: Column, inside: str) -> Column:
 
 
 def count_arabic_letters(text: Column) -> Column:
-    return _count(text, U.arabic_letters())
+    return by_reach(text, lambda arabic, _: _count(text, arabic))
 
 
 def count_english_letters(text: Column) -> Column:
@@ -79,16 +86,17 @@ def count_english_letters(text: Column) -> Column:
 
 
 def count_decimal_digits(text: Column) -> Column:
-    return _count(text, U.decimal_digits())
+    return by_reach(text, lambda _, digits: _count(text, digits))
 
 
 def count_symbols(text: Column) -> Column:
     """Characters that are neither white space, digits, Arabic nor Latin letters."""
-    return F.length(F.regexp_replace(text, f"[{U.SPACE}{U.decimal_digits()}{U.arabic_letters()}A-Za-z]", "")).cast("long")
+    return by_reach(text, lambda arabic, digits: F.length(F.regexp_replace(text, f"[A-Za-z{U.SPACE}{digits}{arabic}]", "")).cast("long"))
 
 
 def classify_token(token: Column) -> Column:
-    arabic, latin = token.rlike(f"[{U.arabic_letters()}]"), token.rlike("[A-Za-z]")
+    arabic = token.rlike("[^\\x00-\\x7F]") & token.rlike(f"[{U.arabic_letters()}]")
+    latin = token.rlike("[A-Za-z]")
     return F.when(arabic & latin, MIXED).when(arabic, AR_ONLY).when(latin, EN_ONLY).otherwise(OTHER)
 
 
@@ -117,8 +125,8 @@ def is_unusually_long(cleaned: Column, normalized: Column) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    digit = f"[{U.decimal_digits()}]"
-    return F.regexp_extract_all(text, F.lit(f"{digit}+(?:[.,]{digit}+)?"), F.lit(0))
+    found = lambda _, digits: F.regexp_extract_all(text, F.lit(f"[{digits}]+(?:[.,][{digits}]+)?"), F.lit(0))
+    return by_reach(text, found)
 
 
 def number_bucket(token: Column) -> Column:
@@ -137,11 +145,11 @@ def symbols(text: Column) -> Column:
 
 def canonical_numbers(text: Column) -> Column:
     """Number tokens for number accuracy: NFKC, lower case, digits of Arabic scripts as ASCII."""
-    word = f"[{U.letters_and_numbers()}]"
+    word = r"[\p{L}\p{N}]"
     low = F.lower(nfkc(text))
     found = F.regexp_extract_all(low, F.lit(f"{word}+(?:[.,\\x{{66B}}\\x{{66C}}/-]{word}+)*"), F.lit(0))
-    with_digit = F.filter(found, lambda t: t.rlike(f"[{U.decimal_digits()}]"))
-    return F.transform(with_digit, ascii_digits)
+    with_digit = F.filter(found, lambda t: t.rlike("[0-9]") | (t.rlike("[^\\x00-\\x7F]") & t.rlike(f"[{U.decimal_digits()}]")))
+    return F.transform(with_digit, lambda t: F.when(t.rlike("[^\\x00-\\x7F]"), ascii_digits(t)).otherwise(t))
 
 
 def ascii_digits(token: Column) -> Column:

@@ -59,21 +59,23 @@ def letters_and_numbers() -> str:
     return body(_runs(p for p in range(0x110000) if unicodedata.category(chr(p))[0] in "LN"))
 
 
+#: Last code point of the short classes: through the Arabic block.
+SHORT_LAST = 0x6FF
+
+
+@lru_cache(maxsize=1)
+def arabic_letters_short() -> str:
+    a, b = ARABIC_BLOCKS[0]
+    return body(_runs(p for p in range(a, b + 1) if unicodedata.category(chr(p)).startswith("L") and p != TATWEEL and not _within(p, MARK_RANGES)))
+
+
 @lru_cache(maxsize=1)
-def unstable() -> str:
-    """Characters whose presence may change a text under NFKC: they change alone or can combine with what precedes."""
-    points = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
-    for p in range(0x80, 0x110000):
-        if 0xD800 <= p <= 0xDFFF:
-            continue
-        c = chr(p)
-        parts = unicodedata.decomposition(c).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            points.add(int(parts[1], 16))
-        if unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c:
-            points.add(p)
-    return body(_runs(points))
+def decimal_digits_short() -> str:
+    return body(_runs(p for p in range(SHORT_LAST + 1) if unicodedata.category(chr(p)) == "Nd"))
+
 
+#: Not surely stable under NFKC: all but ASCII, the letters of Latin-1 and the Arabic block's basic letters and digits.
+PERHAPS_UNSTABLE = r"[^\x00-\x7F\x{C0}-\x{FF}\x{621}-\x{63A}\x{640}-\x{64A}\x{660}-\x{669}]"
 
 MARKS = body((*MARK_RANGES, (TATWEEL, TATWEEL)))
 SPACE = body(SPACE_RANGES)

@@ -13,6 +13,7 @@ from voxlake.functions import text as X
 from voxlake.operators import audit, dedup, evaluate, resume, split, training, triage
 from voxlake.operators.neardup import NearDuplicates
 from voxlake.sources import loaders
+from voxlake.storage import written
 
 from . import inputs as I
 from . import oracles
@@ -160,10 +161,10 @@ def audit_summary(spark, d):
 
 def _records(spark, d):
     rows = I.transcripts(spark, d).withColumn("n", X.audit_normalize(F.col("transcript")))
-    return rows.select(
+    return written(rows.select(
         "sample_id", "index", X.fingerprint(F.col("n")).alias("transcript_sha256"), F.when(F.length("transcript") % 7 == 0, F.sha2(F.substring("transcript", 1, 20), 256)).alias("audio_sha256"),
         X.category(X.token_stats(F.col("n"))).alias("language_category"),
-    )
+    ), "records")
 
 
 @query

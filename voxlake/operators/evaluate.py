@@ -74,7 +74,7 @@ def summary_columns() -> list[Column]:
     return [
         F.count("*").alias("examples"), *(merged(m).alias(m) for m in ERROR_METRICS), merged("wer_normalized", F.col("category") == X.CODE_SWITCHED).alias("code_switched_wer"),
         merged_value("english_term_recall").alias("english_term_recall"), merged_value("number_accuracy").alias("number_accuracy"),
-        (flagged / F.count("*")).alias("hallucination_rate"), flagged.alias("hallucination_flagged"),
+        F.try_divide(flagged, F.count("*")).alias("hallucination_rate"), flagged.alias("hallucination_flagged"),
         F.when(audio > 0, F.sum(F.when(timed, F.col("processing_seconds"))) / audio).alias("rtf"), F.count_if(timed).alias("rtf_timed_examples"),
     ]
 

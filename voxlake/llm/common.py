@@ -1,62 +1,25 @@
-"""Shared plumbing: the shared scratch folder, written intermediate tables, Arrow batch helpers.
+"""Shared plumbing: Arrow batch helpers and table readers.
 
 Cutting lineage always goes through a Parquet table in the folder that the cluster names in
-``spark.checkpoint.dir``; executors that are lost later cost nothing but the stage they ran.
+``spark.checkpoint.dir`` (``written``); executors that are lost later cost nothing but the stage they ran.
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxlake.storage import scratch_path, shared_dir, written
+
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "content_digest", "documents", "map_arrow", "scratch_path", "shared_dir", "table", "written"]
+
 #: Fixed value: the white space that separates words, as a Java/DuckDB-compatible class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
-_roots: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _roots:
-        _roots[key] = tempfile.mkdtemp(prefix="voxlake-")
-    return _roots[key]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/voxlake/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may have ended already
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, short lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """``mapInArrow`` over single record batches."""
 

@@ -66,7 +66,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about ``most`` bytes of text: bounds the memory of numpy temporaries."""
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     n, at = batch.num_rows, 0

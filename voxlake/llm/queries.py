@@ -9,6 +9,7 @@ from . import common, packing, topk, url_filter, warc
 from .classifier import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .oracles import ORACLE_SQL
 from .quality_rules import repetition_rules
 from .substring_dedup import repeated_passages
 from .token_counts import count_tokens
@@ -59,6 +60,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_counts": op2_token_counts,
@@ -71,4 +74,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}

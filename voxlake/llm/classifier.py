@@ -223,12 +223,15 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
-    """Fit on the labelled rows that aren't held out, score all: id, held_out, score, predicted."""
+def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, options: dict) -> tuple[DataFrame, QualityModel]:
     facts = written(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & ~held_out("id"))
-    train = written(facts.join(known, "id").select("x", "y"), "train")
-    model = fit(train, **options)
+    return facts, fit(written(facts.join(known, "id").select("x", "y"), "train"), **options)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
+    """Fit on the labelled rows that aren't held out, score all: id, held_out, score, predicted."""
+    facts, model = _fitted(docs, labels, id_col, text_col, label_col, options)
 
     def run(batch):
         s = model.score(_matrix(batch.column(1)))
@@ -236,3 +239,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     out = map_arrow(facts, run, f"id {facts.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, judged where they are read: no text is shuffled."""
+    _, model = _fitted(docs, labels, id_col, text_col, label_col, options)
+    place, kind = docs.columns.index(text_col), pa.string()
+
+    def run(batch):
+        for part in X.slices(batch, batch.schema.names[place]):
+            x = statistics(part.column(place).cast(kind)).astype(np.float32).astype(np.float64)
+            yield part.filter(pa.array(model.score(x) >= threshold))
+
+    return map_arrow(docs, run, docs.schema)

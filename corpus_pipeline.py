@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm import common, packing
-from voxlake.llm.classifier import score_documents
+from voxlake.llm.classifier import accepted_documents
+from voxlake.llm.membership import apart
 from voxlake.llm.mixing import mix
 from voxlake.llm.near_dedup import near_duplicates
 from voxlake.llm.substring_dedup import cut_passages, repeated_passages
@@ -18,20 +19,18 @@ from voxlake.llm.substring_dedup import cut_passages, repeated_passages
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below 0.7 go."""
-    scores = score_documents(docs, common.table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 0").select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return accepted_documents(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays; rows that repeat an id leave one."""
     judged = common.written(near_duplicates(docs).where("doc_id is not null"), "classes")
-    repeated = common.written(judged.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    out = docs.join(judged.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if repeated.isEmpty():
-        return out
-    once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    repeated = judged.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched = common.written(judged.where("not kept").select("doc_id").union(repeated).distinct(), "touched")
+    alone, others = apart(docs, touched)
+    others = others.join(judged.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    known, unknown = others.where("doc_id is not null"), others.where("doc_id is null")
+    return alone.unionByName(unknown).unionByName(known.dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,6 @@ def _count(x: str, inside: str) -> str:
 T = f"""t as (select doc_id, doc_id as index, doc_id::varchar as sample_id, case when doc_id % 4 = 1 then {_arabic('text')}
  when doc_id % 4 = 2 then array_to_string(list_transform(string_split(text, ' '), lambda w, i: case when (i - 1) % 3 = 0 then {_arabic('w')} else w end), ' ')
  else text end as transcript from documents)"""
-STATS = """token_count as (select 1)"""
 
 
 def _with_stats(source: str, text: str, keys: str) -> str:
@@ -124,11 +123,12 @@ LABELS = f"""l0 as (select p.sample_id, {_rate('a.s', 'a.d', 'a.i', 'a.n')} as n
  l as (select sample_id, normalized_wer, case when len(ls) > 0 then ls else ['other_word_error'] end as labels from l0 where normalized_wer > 0)"""
 WAVES = """w as (select vec_id, case vec_id % 5 when 0 then list_transform(embedding::double[], lambda v: v * 0) when 2 then list_transform(embedding::double[], lambda v: least(greatest(v * 20, -1.0::double), 1.0::double))
  when 3 then list_transform(embedding::double[], lambda v, i: case when i = 1 then 'nan'::double else v end) else embedding::double[] end as x from embeddings)"""
-BIGRAMS = f"""d0 as (select doc_id as index, doc_id::varchar as sample_id, {_norm('text')} as n from documents), d1 as (select n, arg_min(sample_id, index) as sample_id from d0 where length(n) >= 10 group by n),
- b as (select sample_id, list_distinct(list_transform(range(1, length(n)), lambda i: substring(n, i, 2))) as bs from d1), m as (select sample_id, unnest(bs) as bg from b),
+BIGRAMS = f"""d0 as materialized (select doc_id as index, doc_id::varchar as sample_id, {_norm('text')} as n from documents), d1 as (select n, arg_min(sample_id, index) as sample_id from d0 where length(n) >= 10 group by n),
+ b as materialized (select sample_id, list_distinct(list_concat(regexp_extract_all(n, '..'), regexp_extract_all(substring(n, 2), '..'))) as bs from d1), m as (select sample_id, unnest(bs) as bg from b),
  z as (select bg, count(*) as c from m group by bg), k as (select m.* from m join z using (bg) where c <= 64),
  pr as (select distinct x.sample_id as id_a, y.sample_id as id_b from k x join k y on x.bg = y.bg and x.sample_id < y.sample_id),
- sim as (select id_a, id_b, len(list_intersect(x.bs, y.bs)) / (len(x.bs) + len(y.bs) - len(list_intersect(x.bs, y.bs)))::double as similarity from pr join b x on x.sample_id = id_a join b y on y.sample_id = id_b)"""
+ it as (select id_a, id_b, count(*) as i from pr join m x on x.sample_id = id_a join m y on y.sample_id = id_b and x.bg = y.bg group by 1, 2),
+ sim as (select id_a, id_b, i / (len(x.bs) + len(y.bs) - i)::double as similarity from it join b x on x.sample_id = id_a join b y on y.sample_id = id_b)"""
 TARGETS = """cnt as (select language_category as c, count(*) as n from r group by 1), ratios(split, ratio, o) as (values ('train', 90, 0), ('validation', 5, 1), ('test', 5, 2)),
  ex as (select c, split, o, n, n * ratio // 100 as base, n * ratio % 100 as rem from cnt, ratios),
  tg as (select c as language_category, split, o, (base + (case when row_number() over (partition by c order by rem desc, o) <= n - sum(base) over (partition by c) then 1 else 0 end))::bigint as target from ex)"""

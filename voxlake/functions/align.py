@@ -1,8 +1,9 @@
 """Edit alignment with substitutions, deletions and insertions.
 
 On equal units the diagonal is taken; else the least of (cost, insertions, deletions, substitutions).
-These four are packed into one integer whose order is theirs, so a cell is a minimum of three sums.
-Whole batches of rows are aligned at once: the two loops run over cells, numpy over rows.
+Within a cell, cost and insertions determine deletions and substitutions; these two are packed into one integer
+whose order is theirs, so a cell is a minimum of three sums.  Whole batches of rows are aligned at once: the loop
+runs over antidiagonals, numpy over their cells and rows.  Sequences may have any length.
 """
 
 from __future__ import annotations
@@ -13,65 +14,84 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 15
-_S, _D, _I = 1 + (1 << 3 * BITS), (1 << BITS) + (1 << 3 * BITS), (1 << 2 * BITS) + (1 << 3 * BITS)
 COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("s", "d", "i", "n")])
-_GROUP = 512
+#: Rows, and rows times reference units, that are aligned at once.
+_GROUP, _CELLS = 512, 1 << 16
 
 
 def _codes(refs, hyps) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units as numbers, padded, and lengths; a text's units are its code points."""
     n, m = np.array([len(x) for x in refs]), np.array([len(x) for x in hyps])
     number: dict = {}
-    r, h = np.full((max(n.max(), 1), len(n)), -1), np.full((max(m.max(), 1), len(n)), -2)
+
+    def coded(x):
+        if isinstance(x, str):
+            return np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<i4")
+        return [number.setdefault(t, len(number)) for t in x]
+
+    r, h = np.full((int(n.max()), len(n)), -1, np.int32), np.full((int(m.max()), len(n)), -2, np.int32)
     for k, (a, b) in enumerate(zip(refs, hyps, strict=True)):
-        r[: n[k], k] = [number.setdefault(t, len(number)) for t in a]
-        h[: m[k], k] = [number.setdefault(t, len(number)) for t in b]
+        r[: n[k], k] = coded(a)
+        h[: m[k], k] = coded(b)
     return r, h, n, m
 
 
+def _ends(r: np.ndarray, h: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cost and insertions of each column's alignment."""
+    rows, cols = len(r), len(h)
+    bits, kind = (15, np.int32) if rows + cols < 1 << 15 else (31, np.int64)
+    change, insert = kind(1 << bits), kind((1 << bits) + 1)
+    back = h[::-1]
+    end = np.zeros(len(n), np.int64)
+    # Antidiagonals by reference position: the last, the one before, and the one being filled.
+    last, older, cur = (np.zeros((rows + 1, len(n)), kind) for _ in range(3))
+    for d in range(1, rows + cols + 1):
+        if d <= cols:
+            cur[0] = d * int(insert)
+        if d <= rows:
+            cur[d] = d * int(change)
+        lo, hi = max(1, d - cols), min(rows, d - 1)
+        if lo <= hi:
+            diagonal = older[lo - 1 : hi]
+            best = np.minimum(diagonal, last[lo - 1 : hi]) + change
+            np.minimum(best, last[lo : hi + 1] + insert, out=best)
+            cur[lo : hi + 1] = np.where(r[lo - 1 : hi] == back[cols - d + lo : cols - d + hi + 1], diagonal, best)
+        done = np.flatnonzero(n + m == d)
+        end[done] = cur[n[done], done]
+        last, older, cur = cur, last, older
+    return end >> bits, end & ((1 << bits) - 1)
+
+
 def align_rows(refs: list, hyps: list) -> np.ndarray:
     """Substitutions, deletions, insertions and reference units of each pair of sequences."""
     out = np.zeros((len(refs), 4), np.int64)
-    order = np.argsort([len(a) * 4096 + len(b) for a, b in zip(refs, hyps, strict=True)], kind="stable")
-    for at in range(0, len(order), _GROUP):
-        part = order[at : at + _GROUP]
+    size = np.array([[len(a), len(b)] for a, b in zip(refs, hyps, strict=True)], np.int64).reshape(-1, 2)
+    order = np.lexsort((size[:, 1], size[:, 0]))[::-1]
+    at = 0
+    while at < len(order):
+        part = order[at : at + min(_GROUP, max(1, _CELLS // (int(size[order[at], 0]) + 1)))]
+        at += len(part)
         r, h, n, m = _codes([refs[k] for k in part], [hyps[k] for k in part])
-        if max(n.max(), m.max()) >= 1 << BITS:
-            raise ValueError(f"sequences of {1 << BITS} units or more can't be aligned")
-        above = np.repeat((np.arange(len(h) + 1) * _I)[:, None], len(part), axis=1)
-        cols = np.arange(len(part))
-        end = np.where(n == 0, above[m, cols], 0)
-        for i in range(int(n.max())):
-            row = np.empty_like(above)
-            row[0] = (i + 1) * _D
-            step = np.minimum(above[1:] + _D, above[:-1] + _S)
-            same = h == r[i]
-            step = np.where(same, above[:-1], step)
-            for j in range(int(m.max())):
-                row[j + 1] = np.where(same[j], step[j], np.minimum(step[j], row[j] + _I))
-            row = row[: int(m.max()) + 1]
-            done = n == i + 1
-            end[done] = row[m[done], cols[done]]
-            above = row
-        mask = (1 << BITS) - 1
-        out[part] = np.column_stack([end & mask, end >> BITS & mask, end >> 2 * BITS & mask, n])
+        cost, inserted = _ends(r, h, n, m)
+        deleted = inserted + n - m
+        out[part] = np.column_stack([cost - inserted - deleted, deleted, inserted, n])
     return out
 
 
 @F.pandas_udf(COUNTS)
 def _align(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-    empty = lambda x: [] if x is None else list(x)
-    return pd.DataFrame(align_rows([empty(x) for x in refs], [empty(x) for x in hyps]), columns=["s", "d", "i", "n"])
+    units = lambda x: [] if x is None else x if isinstance(x, str) else list(x)
+    return pd.DataFrame(align_rows([units(x) for x in refs], [units(x) for x in hyps]), columns=["s", "d", "i", "n"])
 
 
 def edit_counts(reference: Column, hypothesis: Column) -> Column:
-    """struct<s,d,i,n> of two arrays."""
+    """struct<s,d,i,n> of two arrays, or of the code points of two texts."""
     return _align(reference, hypothesis)
 
 
 def characters(text: Column) -> Column:
-    """Code points of a text without its blanks."""
-    return F.regexp_extract_all(F.regexp_replace(text, " ", ""), F.lit("(?s)."), F.lit(0))
+    """A text without its blanks, whose units are its code points."""
+    return F.regexp_replace(text, " ", "")
 
 
 def rate(s: Column, d: Column, i: Column, n: Column) -> Column:

@@ -192,28 +192,41 @@ def is_duration_mismatch(text: Column, seconds: Column) -> Column:
     return F.coalesce((F.length(text) > 0) & (seconds > 0) & ((rate < 0.5) | (rate > 30.0)), F.lit(False))
 
 
+def _bound(body, *values: Column) -> Column:
+    """``body`` of values that are computed once, not once for every item of the loops in it."""
+    fields = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.get(F.transform(F.array(fields), lambda s: body(*(s[f"v{i}"] for i in range(len(values))))), F.lit(0))
+
+
 def common_count(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
-    return F.coalesce(F.aggregate(
-        F.array_distinct(a), F.lit(0).cast("long"),
-        lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
-    ), F.lit(0).cast("long"))
+
+    def run(a: Column, b: Column) -> Column:
+        return F.coalesce(F.aggregate(
+            F.array_distinct(a), F.lit(0).cast("long"),
+            lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
+        ), F.lit(0).cast("long"))
+
+    return _bound(run, a, b)
 
 
 def has_surplus(a: Column, b: Column) -> Column:
     """Does the multiset difference a - b hold anything."""
-    return F.exists(F.array_distinct(a), lambda t: F.size(F.filter(a, lambda x: x == t)) > F.size(F.filter(b, lambda x: x == t)))
+    return _bound(lambda a, b: F.exists(F.array_distinct(a), lambda t: F.size(F.filter(a, lambda x: x == t)) > F.size(F.filter(b, lambda x: x == t))), a, b)
 
 
 def repeats_phrase(items: Column, most: int = 4) -> Column:
     """Three equal phrases of 1 to ``most`` tokens in a row."""
 
-    def width(w: int) -> Column:
+    def width(items: Column, w: int) -> Column:
         last = F.size(items) - 3 * w + 1
         same = lambda i: (F.slice(items, i, w) == F.slice(items, i + w, w)) & (F.slice(items, i + w, w) == F.slice(items, i + 2 * w, w))
         return F.when(last >= 1, F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), same)).otherwise(False)
 
-    out = width(1)
-    for w in range(2, most + 1):
-        out = out | width(w)
-    return out
+    def run(items: Column) -> Column:
+        out = width(items, 1)
+        for w in range(2, most + 1):
+            out = out | width(items, w)
+        return out
+
+    return _bound(run, items)

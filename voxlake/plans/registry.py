@@ -331,34 +331,30 @@ def audio_fingerprint(spark, d):
     return I.waves(spark, d).select("vec_id", A.audio_fingerprint(F.col("sampling_rate"), F.col("samples")).alias("sha"))
 
 
-def _clean_waves(spark, d):
-    return I.waves(spark, d).where(F.col("vec_id") % 5 != 3)
-
-
 @query
 def bandpass(spark, d):
-    return _clean_waves(spark, d).select("vec_id", A.bandpass_udf(F.col("samples"), F.col("sampling_rate")).alias("out"))
+    return I.waves(spark, d).select("vec_id", A.bandpass_udf(F.col("samples"), F.col("sampling_rate")).alias("out"))
 
 
 @query
 def narrowband_roundtrip(spark, d):
-    return _clean_waves(spark, d).select("vec_id", A.narrowband_udf(F.col("samples"), F.col("sampling_rate")).alias("out"))
+    return I.waves(spark, d).select("vec_id", A.narrowband_udf(F.col("samples"), F.col("sampling_rate")).alias("out"))
 
 
 @query
 def codec_roundtrip(spark, d):
-    rows = _clean_waves(spark, d)
+    rows = I.waves(spark, d)
     return rows.select("vec_id", A.codec_udf(F.col("samples"), F.col("sampling_rate")).alias("mulaw"), A.codec_udf(F.col("samples"), F.col("sampling_rate"), "alaw").alias("alaw"))
 
 
 @query
 def telephone_degrade(spark, d):
-    return _clean_waves(spark, d).select("vec_id", A.telephone_udf(F.col("samples"), F.col("sampling_rate")).alias("out"))
+    return I.waves(spark, d).select("vec_id", A.telephone_udf(F.col("samples"), F.col("sampling_rate")).alias("out"))
 
 
 @query
 def augment_training(spark, d):
-    return _clean_waves(spark, d).select("vec_id", A.augment_udf(F.col("samples"), F.col("sampling_rate"), F.col("sample_id"), AUGMENTATION).alias("a")).select("vec_id", "a.*")
+    return I.waves(spark, d).select("vec_id", A.augment_udf(F.col("samples"), F.col("sampling_rate"), F.col("sample_id"), AUGMENTATION).alias("a")).select("vec_id", "a.*")
 
 
 # Bookkeeping

@@ -111,7 +111,7 @@ def stable_sample_id(spark, d):
 @query
 def load_primary(spark, d):
     docs = I.read(spark, d, "documents").select("doc_id", "text")
-    return loaders.load_primary(spark, docs, I.REPO, I.REVISION, I.SPLIT, max_examples=100, index_col="doc_id").select("sample_id", "repo_id", "revision", "split", "index", "transcript", "is_pseudo_labelled")
+    return loaders.load_primary(spark, docs, I.REPO, I.REVISION, I.SPLIT, index_col="doc_id").select("sample_id", "repo_id", "revision", "split", "index", "transcript", "is_pseudo_labelled")
 
 
 @query
@@ -369,7 +369,7 @@ def resume_pending(spark, d):
 @query
 def manifest_select(spark, d):
     manifest = I.predictions(spark, d).where(F.col("index") % 3 == 0).select("index", F.concat(F.lit("m-"), "sample_id").alias("sample_id"))
-    return resume.select_examples(I.utterances(spark, d).select("sample_id", "index", "transcript"), resume.manifest_prefix(manifest, 100))
+    return resume.select_examples(I.utterances(spark, d).select("sample_id", "index", "transcript"), manifest)
 
 
 @query

@@ -33,6 +33,15 @@ class NearDuplicates:
             distinct = distinct.orderBy("first_bucket", "id_a", "id_b").limit(self.budget)
         return distinct.select("id_a", "id_b")
 
+    def exact(self) -> DataFrame:
+        """All pairs at the similarity or above, without bucket, budget or cap: each two share one of their rarest
+        bigrams, as many as similar texts may differ in and one more."""
+        ranked = self.members.join(self.sizes, "bigram").groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("n", "bigram"))).alias("b"))
+        prefix = F.slice("b", 1, (F.size("b") - F.ceil(F.size("b") * self.similarity - 1e-9) + 1).cast("int"))
+        rare = written(ranked.select("sample_id", F.explode(prefix).alias("p")).select("sample_id", "p.bigram"), "rarest")
+        a, b = rare.select("bigram", F.col("sample_id").alias("id_a")), rare.select("bigram", F.col("sample_id").alias("id_b"))
+        return self.similar(a.join(b, "bigram").where("id_a < id_b").select("id_a", "id_b").distinct())
+
     def similar(self, candidates: DataFrame) -> DataFrame:
         left = self.texts.select(F.col("sample_id").alias("id_a"), F.col("bigrams").alias("x"))
         right = self.texts.select(F.col("sample_id").alias("id_b"), F.col("bigrams").alias("y"))

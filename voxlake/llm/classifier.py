@@ -47,8 +47,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     """One row of STATISTICS per text."""
     data, offsets = X.buffers(texts)
     n = len(offsets) - 1
-    prefix = X.prefix_hash(data)
-    w = X.words(data, offsets, prefix)
+    w = X.words(data, offsets)
     doc = w.doc
 
     def total(hit):
@@ -74,7 +73,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     inner = np.searchsorted(w.start, end) - np.searchsorted(w.start, start)
     full = inner > 0
     line_doc = np.repeat(np.arange(n), np.diff(first))
-    _, later = X.repeated(X.seeded(X.span_hash(prefix, start[full], end[full]), line_doc[full]))
+    _, later = X.repeated(X.seeded(X.span_hash(data, start[full], end[full]), line_doc[full]))
     dup = np.zeros(len(start), dtype=np.int64)
     dup[np.flatnonzero(full)[later]] = inner[full][later]
     lines = np.maximum(X.sum_by(full, first), 1)

@@ -6,20 +6,56 @@ Cutting lineage always goes through a Parquet table in the folder that the clust
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.storage import scratch_path, shared_dir, written
+from voxlake.storage import discard, scratch_path, shared_dir, written
 
-__all__ = ["SPACE_CLASS", "WORD_PATTERN", "content_digest", "documents", "map_arrow", "scratch_path", "shared_dir", "table", "written"]
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "content_digest", "discard", "documents", "map_arrow", "map_batches", "scratch_path", "shared_dir", "table", "whole_runs", "written"]
 
 #: Fixed value: the white space that separates words, as a Java/DuckDB-compatible class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
+#: Most bytes of an Arrow batch, unless the session asks for less: bounds what a task holds, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's largest Arrow batch to BATCH_BYTES."""
+    now = spark.conf.get(_BATCH_SETTING, "64m").lower().rstrip("b")
+    size = int(now.rstrip("kmg")) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1], 1)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def returned() -> None:
+    """Give freed memory back: a worker lives on after its task, and the next stage's workers need the room."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` over bounded batches."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            returned()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema) -> DataFrame:
     """``mapInArrow`` over single record batches."""
 
@@ -34,7 +70,29 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Batches regrouped so that none ends inside a run of equal values of a column (rows sorted by it)."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < most:
+            continue
+        one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        values = one.column(column).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(values, values[-1])) if values[0] <= values[-1] else 0
+        if last:
+            yield one.slice(0, last)
+            one = one.slice(last)
+        held, rows = [one], one.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

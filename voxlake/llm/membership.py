@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import written
 
 #: Most bits of a table: 2 MB.
 MOST_BITS = 1 << 24
@@ -47,16 +47,28 @@ def holds(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 def apart(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Rows whose id surely isn't among ``ids`` (a stored table with that column), and the others."""
-    table, bits = bit_table(ids, id_col)
-    marked = rows.withColumn("_slot", slot(id_col, bits))
-
-    def part(wanted: bool) -> DataFrame:
-        def run(batch):
-            mask = holds(table, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)) == wanted
-            kept = batch.filter(pa.array(mask))
-            return pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+    """Rows whose id surely isn't among ``ids`` (a stored table with that column), and the others.
 
-        return map_arrow(marked, run, rows.schema)
+    Only ids are tested in Python; the rows themselves stay in the JVM.
+    """
+    table, bits = bit_table(ids, id_col)
 
-    return part(False), part(True)
+    @F.arrow_udf("boolean")
+    def among(slots: pa.Array) -> pa.Array:
+        return pa.array(holds(table, slots.to_numpy(zero_copy_only=False)))
+
+    test = among(slot(id_col, bits))
+    return rows.where(~test), rows.where(test)
+
+
+def one_text_per_id(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, text) and ``ids`` (a stored table of id and digest, and others): of different texts with one id,
+    that with the smallest digest stays."""
+    chosen = ids.groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("id", "least")
+    if chosen.isEmpty():
+        return rows, ids
+    chosen = written(chosen, "chosen")
+    stays = F.col("least").isNull() | (F.col("digest") == F.col("least"))
+    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    part = lambda df: df.join(chosen, "id", "left").where(stays)
+    return part(rows.withColumn("digest", digest)).select(*rows.columns), part(ids).select(*ids.columns)

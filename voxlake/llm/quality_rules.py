@@ -43,8 +43,7 @@ def _covered(n_words: int, at: np.ndarray, n: int) -> np.ndarray:
 def measure(texts: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     """Counts by document; ``dup_chars_<n>`` are code points of words inside repeated n-word windows."""
     data, offsets = X.buffers(texts)
-    prefix = X.prefix_hash(data)
-    w = X.words(data, offsets, prefix)
+    w = X.words(data, offsets)
     points = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(X.code_points(data), out=points[1:])
     chars = points[w.end] - points[w.start]
@@ -58,7 +57,7 @@ def measure(texts: pa.Array, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     inner = np.searchsorted(w.start, end) - np.searchsorted(w.start, start)
     line_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     full = inner > 0
-    _, later = X.repeated(X.seeded(X.span_hash(prefix, start[full], end[full]), line_doc[full]))
+    _, later = X.repeated(X.seeded(X.span_hash(data, start[full], end[full]), line_doc[full]))
     dup = np.zeros(len(start), dtype=bool)
     dup[np.flatnonzero(full)[later]] = True
     out["n_dup_lines"] = X.sum_by(dup, first)

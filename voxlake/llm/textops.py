@@ -1,12 +1,13 @@
 """Vectorised text primitives over Arrow string batches.
 
 Everything works on the UTF-8 bytes of many documents at once.  White space is ASCII only, so byte
-offsets of words are exact in UTF-8.  Hashes are 64-bit polynomial prefix hashes over randomised
-byte values, finalised with a 64-bit mixer; equal words get equal hashes in every batch and task.
+offsets of words are exact in UTF-8.  Hashes are 64-bit chains of a non-linear mixer over blocks of
+eight bytes; equal words get equal hashes in every batch and task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,8 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,21 +31,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
-_powers = {"n": 0}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, 1 << 16)
-        for key, base in (("up", _BASE), ("down", _BASE_INV)):
-            run = np.full(size, base, dtype=U64)
-            run[0] = 1
-            _powers[key] = np.multiply.accumulate(run)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1, starting at 0) of a string or binary array; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,20 +61,38 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterato
         at = to
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """C[i]: hash of the first i bytes, for ``span_hash``."""
-    up, _ = _tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_VALUES[data] * up[: len(data)], out=out[1:])
+#: Spans longer than this go to BLAKE2b one by one.
+LONG_SPAN = 256
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes start..end of each span, the same wherever the span lies.
+
+    A chain of the non-linear mixer over blocks of eight bytes, so that no regular pattern of bytes cancels
+    out as it would in a polynomial; long spans by BLAKE2b.
+    """
+    start, size = start.astype(np.int64), (end - start).astype(np.int64)
+    out = mix64(size.astype(U64) * U64(0xA0761D6478BD642F) + U64(0x8EBC6AF09C88C6E3))
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        left = size[live] - at
+        block = blocks[start[live] + at].astype(U64)
+        short = left < 8
+        block[short] &= (U64(1) << (left[short] * 8).astype(U64)) - U64(1)
+        out[live] = mix64(out[live] * U64(0x9E3779B97F4A7C15) ^ block)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        span = data[start[i] : start[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "little")
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of bytes start..end of each span, the same wherever the span lies."""
-    _, down = _tables(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
-
-
 @dataclass
 class Words:
     """Words of a batch: byte spans, hashes and, by document, where its words begin (rows + 1)."""
@@ -127,10 +129,9 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return start, end, np.searchsorted(start, offsets)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray | None = None) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     start, end, first = spans(data, offsets, ~_SPACE[data])
-    prefix = prefix_hash(data) if prefix is None else prefix
-    return Words(start, end, span_hash(prefix, start, end), first)
+    return Words(start, end, span_hash(data, start, end), first)
 
 
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

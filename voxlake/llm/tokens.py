@@ -91,7 +91,7 @@ class _Chunked:
     def look_up(self, data: np.ndarray, offsets: np.ndarray):
         """Places in ``known`` of every chunk, and the documents' first chunks."""
         start, end, first = self.chunks(data, offsets)
-        keys, one, back = X.distinct(X.span_hash(X.prefix_hash(data), start, end))
+        keys, one, back = X.distinct(X.span_hash(data, start, end))
         if len(self.known.hash) > REMEMBERED:
             self.known.clear()
         new = self.known.missing(keys)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import map_arrow, written
+from .common import bounded_batches, map_arrow, written
 
 STATISTICS = (
     "log_words", "log_chars", "mean_word", "sd_word", "long_words", "upper", "digits", "symbols", "pipes", "bangs", "stops", "commas", "other_marks",
@@ -241,13 +241,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, judged where they are read: no text is shuffled."""
+    """The rows of ``docs`` that score ``threshold`` or more, judged where they are read: no text is shuffled, and only
+    the texts go through Python."""
     _, model = _fitted(docs, labels, id_col, text_col, label_col, options)
-    place, kind = docs.columns.index(text_col), pa.string()
+    bounded_batches(docs.sparkSession)
 
-    def run(batch):
-        for part in X.slices(batch, batch.schema.names[place]):
-            x = statistics(part.column(place).cast(kind)).astype(np.float32).astype(np.float64)
-            yield part.filter(pa.array(model.score(x) >= threshold))
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], names=["text"])
+        parts = [model.score(statistics(part.column(0)).astype(np.float32).astype(np.float64)) >= threshold for part in X.slices(rows, "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return map_arrow(docs, run, docs.schema)
+    return docs.where(accepted(F.col(text_col).cast("string")))

@@ -7,7 +7,7 @@ Cutting lineage always goes through a Parquet table in the folder that the clust
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxlake.storage import discard, scratch_path, shared_dir, written
 
-__all__ = ["SPACE_CLASS", "WORD_PATTERN", "content_digest", "discard", "documents", "map_arrow", "map_batches", "scratch_path", "shared_dir", "table", "whole_runs", "written"]
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "content_digest", "discard", "documents", "keyed", "map_arrow", "map_batches", "scratch_path", "shared_dir", "table", "unused", "whole_runs", "written"]
 
 #: Fixed value: the white space that separates words, as a Java/DuckDB-compatible class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -95,6 +95,32 @@ def whole_runs(batches: Iterator[pa.RecordBatch], column: int = 0, most: int = 5
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many marks as it takes to differ from all ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str, bool]:
+    """``docs`` with a key of each row (a long column of an unused name), that name, and whether no key repeats.
+
+    The key is the id where ids are there and differ; otherwise, for rows without an id or with a repeated one, a hash
+    of the whole row.  So rows share a key only if they are equal.
+    """
+    name = unused(docs.columns, "_row")
+    key = F.col(id_col).cast("long")
+    ids = docs.select(key.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id")
+    if ids.isEmpty():
+        return docs.withColumn(name, key), name, True
+    ids = written(ids, "ids").select("id", F.lit(True).alias("odd"))
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    odd = unused([*docs.columns, name], "_odd")
+    rows = docs.withColumn(name, key).join(ids.select(F.col("id").alias(f"{name}id"), F.col("odd").alias(odd)), F.col(name).eqNullSafe(F.col(f"{name}id")), "left")
+    return rows.withColumn(name, F.when(F.col(odd), whole).otherwise(F.col(name))).select(*[f"`{c}`" for c in docs.columns], name), name, False
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

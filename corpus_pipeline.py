@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes every stage's rows to the shared folder and reads them again.
+
+Defined cases: rows are told apart by ``common.keyed``, so that null and repeated ids lose no text; rows
+equal in all columns are one document.  Texts that are null or hold no word pass the first three stages by
+their own rules (the classifier's score; no group, no passage) and have nothing to mix, so the fourth drops
+them.  Ties are broken by key.  Extra columns pass through the first four stages, whatever their names; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,28 +29,35 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays; rows that repeat an id leave one."""
-    judged = common.written(near_duplicates(docs).where("doc_id is not null"), "classes")
-    repeated = judged.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched = common.written(judged.where("not kept").select("doc_id").union(repeated).distinct(), "touched")
-    alone, others = apart(docs, touched)
-    others = others.join(judged.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    known, unknown = others.where("doc_id is not null"), others.where("doc_id is null")
-    return alone.unionByName(unknown).unionByName(known.dropDuplicates(["doc_id"]).select(*docs.columns))
+    """One document of each class stays."""
+    rows, key, _ = common.keyed(docs)
+    judged = common.written(near_duplicates(rows, id_col=key).select(key, "kept"), "classes")
+    gone = judged.where("not kept").select(key)
+    repeated = judged.groupBy(key).count().where("count > 1").select(key)
+    touched = common.written(gone.union(repeated).distinct(), "touched")
+    alone, others = apart(rows, touched, key)
+    others = others.join(gone.distinct(), key, "left_anti").dropDuplicates([key])
+    return alone.unionByName(others).select(*_columns(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut."""
-    return cut_passages(docs, repeated_passages(docs))
+    rows, key, _ = common.keyed(docs)
+    return cut_passages(rows, repeated_passages(rows, id_col=key), id_col=key).select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times)."""
-    taken = mix(docs).where("doc_id is not null").select("doc_id", "copies")
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken, "doc_id", "left")
-    times = F.coalesce(F.col("_copies"), F.lit(1)).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    rows, key, unique = common.keyed(docs)
+    other, copies = common.unused(rows.columns, "_other"), common.unused(rows.columns, "_copies")
+    taken = mix(rows, id_col=key).groupBy(F.col(key).alias(other)).agg(F.sum("copies").cast("int").alias(copies))
+    once = rows if unique else rows.dropDuplicates([key])
+    joined = once.join(taken.where(F.col(copies) > 0), F.col(key) == F.col(other))
+    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*_columns(docs))
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,24 @@ def test_empty_table_and_clashing_columns(spark):
     assert repetition_rules(empty).count() == 0
     clash = spark.createDataFrame([(1, "x y z", 3, "q")], "doc_id long, text string, n_words long, kept string")
     assert repetition_rules(clash).first()["n_words"] == 3
+
+
+def test_words_of_a_regular_pattern_differ(spark):
+    """The Thue-Morse word and its complement, which a polynomial hash modulo a power of two can't tell apart."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from voxlake.llm import textops as X
+    from voxlake.llm import tokens
+    from voxlake.llm.packing import tokenized_pieces
+
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (2048, 1024, 256, 64):
+        w = X.words(*X.buffers(pa.array([f"{word[:n]} {other[:n]}"])))
+        assert w.hash[0] != w.hash[1]
+    docs = spark.createDataFrame([(1, f"x {word}"), (2, f"x {other}"), (3, f"{word} {other} " * 3)], "doc_id long, text string").coalesce(1)
+    lib = Tokenizer.from_file(tokens.default_path("byte_bpe_50k.json"))
+    for r in tokenized_pieces(docs).orderBy("doc_id", "piece").collect():
+        want = [*lib.encode(docs.where(f"doc_id = {r['doc_id']}").first()["text"], add_special_tokens=False).ids, 0]
+        assert list(memoryview(r["ids"]).cast("I")) == want[r["start"] : r["start"] + r["length"]]

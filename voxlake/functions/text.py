@@ -101,13 +101,19 @@ def classify_token(token: Column) -> Column:
 
 
 def token_stats(normalized: Column) -> Column:
-    """Struct of counts over the tokens of normalised text."""
-    kinds = F.transform(tokens(normalized), lambda t: F.struct(classify_token(t).alias("k"), F.length(t).alias("n")))
-    count = lambda keep: F.size(F.filter(kinds, keep)).cast("long")
-    meaningful = count(lambda t: (t["k"] == EN_ONLY) & (t["n"] > 1))
+    """Struct of counts over the tokens of normalised text.
+
+    The text is rewritten once, a letter for the class of each character (L: Latin, A: Arabic, O: other); tokens are
+    then counted by short patterns over the whole text, without a list of tokens.
+    """
+    latin = F.regexp_replace(normalized, "[A-Za-z]", "L")
+    both = F.when(latin.rlike("[^\\x00-\\x7F]"), by_reach(latin, lambda arabic, _: F.regexp_replace(latin, f"[{arabic}]", "A"))).otherwise(latin)
+    # An "A" of the text itself is an "L" by now.
+    classes = F.regexp_replace(both, "[^LA ]", "O")
+    count = lambda token: F.regexp_count(classes, F.lit(f"(?<![^ ]){token}(?![^ ])")).cast("long")
     return F.struct(
-        F.size(kinds).cast("long").alias("token_count"), count(lambda t: t["k"] == AR_ONLY).alias("ar_only"), count(lambda t: t["k"] == EN_ONLY).alias("en_only"),
-        count(lambda t: t["k"] == MIXED).alias("mixed"), count(lambda t: t["k"] == OTHER).alias("other"), meaningful.alias("en_only_meaningful"),
+        count("[^ ]+").alias("token_count"), count("(?=[^ ]*A)[^ L]+").alias("ar_only"), count("(?=[^ ]*L)[^ A]+").alias("en_only"),
+        count("(?=[^ ]*A)(?=[^ ]*L)[^ ]+").alias("mixed"), count("O+").alias("other"), count("(?=[^ ]*L)[^ A]{2,}").alias("en_only_meaningful"),
     )
 
 

@@ -27,10 +27,17 @@ def pending(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return manifest.join(completed_ids(done), "sample_id", "left_anti")
 
 
-def select_examples(examples: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows of a dataset whose index a manifest names, under the manifest's sample_id."""
-    wanted = manifest.select("index", F.col("sample_id").alias("_id"))
-    return examples.drop("sample_id").join(wanted, "index").withColumnRenamed("_id", "sample_id")
+def select_examples(examples: DataFrame, manifest: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows of a dataset whose index a manifest names, under the manifest's sample_id; sorted by a column of the
+    manifest that holds its order, where one is named."""
+    wanted = manifest.select("index", F.col("sample_id").alias("_id"), *([F.col(order).alias("_order")] if order else []))
+    out = examples.drop("sample_id").join(wanted, "index").withColumnRenamed("_id", "sample_id")
+    return out.orderBy("_order", "index").drop("_order") if order else out
+
+
+def missing_ids(required: DataFrame, have: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Required IDs that aren't there; none if the requirement is met."""
+    return required.select(key).distinct().join(have.select(key), key, "left_anti")
 
 
 def run_inference(pending_rows: DataFrame, model: Callable[[Iterator], Iterator], schema: str) -> DataFrame:

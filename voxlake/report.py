@@ -84,3 +84,12 @@ def write(path: str | Path, data: Mapping[str, Any], markdown: str) -> None:
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(data, sort_keys=True, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
     path.with_suffix(".md").write_text(markdown, encoding="utf-8")
+
+
+def rewrite_markdown(path: str | Path) -> Path:
+    """The Markdown of an audit's JSON made again; the JSON itself is only read."""
+    path = Path(path)
+    data = json.loads(path.read_text(encoding="utf-8"))
+    out = path.with_suffix(".md")
+    out.write_text(render_audit(data.get("summary", data), data.get("histograms")), encoding="utf-8", newline="\n")
+    return out

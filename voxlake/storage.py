@@ -28,6 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[key]
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """In whatever file system Spark knows."""
+    target, files = _path(spark, path)
+    return files.exists(target)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in whatever file system Spark knows."""
+    target, files = _path(spark, path)
+    out = files.create(target, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/voxlake/{name}-{uuid.uuid4().hex}"
@@ -37,9 +56,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = _path(spark, path)
+        files.delete(target, True)
     except Exception:  # noqa: BLE001 - the session may have ended already
         return
 

@@ -56,7 +56,7 @@ MISMATCH = "(length(c0) > 0 and duration > 0 and (length(c0) / duration < 0.5 or
 RECORDS = f"""{T}, {_with_stats('t', 'transcript', 'sample_id, index, transcript')},
  r as (select sample_id, index, case when n <> '' then sha256(n) end as transcript_sha256,
   case when length(transcript) % 7 = 0 then sha256(substring(transcript, 1, 20)) end as audio_sha256, category as language_category from c)"""
-PRED = f"""p0 as (select conv_id * 100 + turn as key, length(text) as n, {_tokens(_norm('text'))}[1:12] as w from conversations),
+PRED = f"""p0 as (select conv_id * 100 + turn as key, length(text) as n, {_tokens(_norm('text'))} as w from conversations),
  p1 as (select *, list_transform(w, lambda x, i: case when key % 3 = 1 and (i - 1) % 3 = 0 then {_arabic('x')} else x end) as ref from p0),
  p2 as (select *, list_filter(ref, lambda x, i: (i - 1 + key) % 5 <> 0) as kept from p1),
  p3 as (select *, list_concat(list_transform(kept, lambda x, i: case when (i - 1 + key) % 7 = 0 then 'sub7' else x end),
@@ -181,7 +181,7 @@ def build() -> dict[str, str]:
         "duration_quantiles": f"""with {UTT} select count(*) as n, sum(duration) as total_seconds, min(duration) as min_seconds, quantile_cont(duration, 0.25) as p25, quantile_cont(duration, 0.5) as median,
           quantile_cont(duration, 0.75) as p75, quantile_cont(duration, 0.95) as p95, max(duration) as max_seconds from u where duration >= 0""",
         "stable_sample_id": f"select doc_id, {sha('doc_id')} as sample_id from documents",
-        "load_primary": f"select {sha('doc_id')} as sample_id, '{REPO}' as repo_id, '{REVISION}' as revision, '{SPLIT}' as split, doc_id as index, text as transcript, false as is_pseudo_labelled from documents where doc_id < 100",
+        "load_primary": f"select {sha('doc_id')} as sample_id, '{REPO}' as repo_id, '{REVISION}' as revision, '{SPLIT}' as split, doc_id as index, text as transcript, false as is_pseudo_labelled from documents",
         "load_pseudo_labelled": f"select {sha('doc_id')} as sample_id, doc_id as index, text as transcript, true as is_pseudo_labelled, false as audio_allowed from documents",
         "load_external": f"with {UTT} select sha256('{REPO}|{REVISION}|validation|' || index::varchar) as sample_id, index, transcript, duration, 'external_eval_only' as role from u",
         "transcript_fingerprint": f"with {T}, x as (select doc_id, {norm_t} as n from t) select doc_id, case when n <> '' then sha256(n) end as sha from x",
@@ -236,7 +236,7 @@ def build() -> dict[str, str]:
           case when len(x) = 0 or bad then false else len(list_filter(x, lambda v: abs(v) >= 0.999)) / len(x) >= 0.001 end as clipped, len(x) > 0 and bad as corrupted from x1""",
         "audio_duration": f"with {WAVES} select vec_id, len(x) / 16000.0::double as seconds from w",
         "resume_pending": f"with {PRED} select sample_id, index from p where index % 4 <> 0",
-        "manifest_select": f"with {UTT}, x as (select * from u where index % 3 = 0 order by index, sample_id limit 100) select index, transcript, 'm-' || sample_id as sample_id from x",
+        "manifest_select": f"with {UTT}, x as (select * from u where index % 3 = 0) select index, transcript, 'm-' || sample_id as sample_id from x",
         "pilot_subset": f"with {UTT} select sample_id, index from u order by sha256('42:' || sample_id), sample_id limit 128",
         "pilot_hours": f"""with {UTT}, x as (select sample_id, length(transcript)::double as seconds, coalesce(sum(length(transcript)::double) over (order by index, u.sample_id rows between unbounded preceding and 1 preceding), 0) as b from u)
           select sample_id, seconds from x where b < 5000""",

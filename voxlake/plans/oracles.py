@@ -212,8 +212,6 @@ def build() -> dict[str, str]:
           select (select count(distinct sample_id) from x) as sample_ids, (select count(*) from kg) as exact_keys, (select count(*) from kg where a < b) as leaking_keys, (select count(*) from pr) as linked_pairs,
           (select count(*) from pr where a <> b) as crossing_pairs""",
         "wer_rows": f"{wer} select sample_id, s, d, i, n, {_rate()} as rate from a",
-        "cer_rows": f"""with recursive {PRED}, x as (select sample_id, string_split(replace(rt, ' ', ''), '') as r, string_split(replace(ht, ' ', ''), '') as h from p),
-          y as (select sample_id, list_filter(r, lambda c: c <> '') as r, list_filter(h, lambda c: c <> '') as h from x), {_aligned('y', 'r', 'h')} select sample_id, s + d + i as errors, n from a""",
         "wer_summary": f"{wer}, m as ({_merged('a')}) select *, rate as raw_rate from m",
         "language_wer": f"""with recursive {PRED}, {_aligned('p', "list_filter(ref, lambda t: " + _kind('t') + " = 'AR_ONLY')", "list_filter(hyp, lambda t: " + _kind('t') + " = 'AR_ONLY')", 'ar')},
           {_aligned('p', _english('ref'), _english('hyp'), 'en')}, m as ({_merged('ar', 'arabic_')}), o as ({_merged('en', 'english_')}) select * from m, o""",

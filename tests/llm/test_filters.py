@@ -46,6 +46,30 @@ def test_rules_and_verdicts(spark):
     assert U.judge(empty, U.fit(U.term_labels(empty))).count() == 0
 
 
+def test_no_label_of_a_host_reaches_its_own_scores(spark):
+    hosts = [f"h{i}.s{i % 7}.org" for i in range(60)]
+    urls = [(f"https://{h}/{'a/' * (i % 4)}{i}", h, int(zlib.crc32(h.encode()) % 2)) for h in hosts for i in range(12)]
+    one = hosts[17]
+    scores = []
+    for flip in (False, True):
+        labelled = spark.createDataFrame([(u, 1 - y if flip and h == one else y) for u, h, y in urls], "url string, label int")
+        pages = spark.createDataFrame([(i, u, None) for i, (u, h, _) in enumerate(urls) if h == one], PAGES)
+        scores.append({r["page_id"]: r["score"] for r in U.judge(pages, U.fit(labelled, folds=U.FOLDS)).collect()})
+    assert scores[0] == scores[1] and len(scores[0]) == 12
+
+
+def test_held_out_hosts_are_judged_by_lexical_features(spark):
+    # Labels by the number of digits and of labels in the host: nothing that a list of words holds.
+    r = np.random.default_rng(3)
+    hosts = [f"{''.join(r.choice(list('abcdefgh'), 6))}{''.join(r.choice(list('0123456789'), int(d)))}{'.x' * int(k)}.org" for d, k in r.integers(0, 5, (300, 2))]
+    label = {h: int(sum(c.isdigit() for c in h) >= 3 and h.count(".") <= 3) for h in hosts}
+    urls = [(f"https://{h}/p/{i}", label[h]) for h in hosts for i in range(3)]
+    labelled = spark.createDataFrame(urls, "url string, label int")
+    pages = spark.createDataFrame([(i, u, None) for i, (u, _) in enumerate(urls)], PAGES)
+    got = {r["page_id"]: r["verdict"] for r in U.judge(pages, U.fit(labelled, folds=U.FOLDS), rules=()).collect()}
+    assert np.mean([(got[i] == "block") == (y == 1) for i, (_, y) in enumerate(urls)]) >= 0.95
+
+
 def test_trees_learn_an_interaction():
     r = np.random.default_rng(1)
     x = r.normal(size=(4000, 5))

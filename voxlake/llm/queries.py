@@ -17,7 +17,7 @@ from .token_counts import count_tokens
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
-    return url_filter.judge(pages, url_filter.fit(url_filter.term_labels(pages)))
+    return url_filter.judge(pages, url_filter.fit(url_filter.term_labels(pages), folds=url_filter.FOLDS))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

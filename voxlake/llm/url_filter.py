@@ -5,6 +5,10 @@ labelled URLs with this host suffix, hashed into a fixed number of buckets, were
 many there are, over all labelled URLs).  The trees are fitted on the driver to at most
 ``sample`` labelled URLs, those with the smallest hashes; features are computed batch-wise in numpy.
 
+Where the labelled URLs are those to be judged, hosts are dealt into folds.  A URL is then judged by the trees
+and statistics of the other folds only, and those trees were fitted on statistics without the fold of the row
+at hand and without the judged fold: so no label of a host has a part in that host's own scores.
+
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is
 judged by the model on empty features; repeated rows are judged alike; without labelled URLs of both
 kinds the model allows everything (or blocks, if all labels say so); extra columns are ignored; an
@@ -36,6 +40,8 @@ BLOCK_TERMS = (
 )
 BUCKETS = 4096
 SAMPLE = 20_000
+#: Folds of hosts, where URLs are judged that are labelled themselves.
+FOLDS = 5
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "host_entropy",
     "parameters", "longest_label", "suffix_rate", "suffix_count", "site_rate", "site_count",
@@ -106,55 +112,87 @@ def lexical(urls: pa.Array, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
     ]).astype(np.float64)
 
 
-class UrlModel:
-    """Fitted trees with the suffix statistics they use."""
+def _fold(folds: int):
+    return F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(folds)).cast("int")
 
-    def __init__(self, statistics: dict[str, tuple[np.ndarray, np.ndarray]], trees: Trees | None, prior: float) -> None:
-        self.statistics, self.trees, self.prior = statistics, trees, prior
 
-    def features(self, urls, hosts, paths, suffix: np.ndarray, site: np.ndarray) -> np.ndarray:
-        extra = []
-        for kind, bucket in (("suffix", suffix), ("site", site)):
-            blocked, n = self.statistics[kind]
-            extra += [(blocked[bucket] + self.prior) / (n[bucket] + 1), np.log1p(n[bucket])]
-        return np.column_stack([lexical(urls, hosts, paths), *extra])
+class UrlModel:
+    """Trees by fold, and the labels' sums and counts by kind of suffix, fold and bucket."""
+
+    def __init__(self, sums: dict[str, np.ndarray], counts: dict[str, np.ndarray]) -> None:
+        self.sums, self.counts = sums, counts
+        self.folds = len(sums["suffix"])
+        self.priors = [self._share(k) for k in range(self.folds)]
+        self.trees: list[Trees | None] = [None] * self.folds
+
+    def _without(self, kind: str, folds: set[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and counts by bucket over the other folds (over all, where there is but one)."""
+        used = [f for f in range(self.folds) if self.folds == 1 or f not in folds]
+        return self.sums[kind][used].sum(axis=0), self.counts[kind][used].sum(axis=0)
+
+    def _share(self, fold: int) -> float:
+        blocked, n = (x.sum() for x in self._without("suffix", {fold}))
+        return float(blocked / n) if n else 0.0
+
+    def features(self, urls, hosts, paths, suffix: np.ndarray, site: np.ndarray, fold: np.ndarray, judged: int | None = None) -> np.ndarray:
+        """Features of rows, by statistics without each row's own fold and without the fold ``judged``."""
+        extra = np.zeros((len(suffix), 4))
+        for f in np.unique(fold).tolist():
+            at = np.flatnonzero(fold == f)
+            prior = self.priors[f if judged is None else judged]
+            for place, kind, bucket in ((0, "suffix", suffix[at]), (2, "site", site[at])):
+                blocked, n = self._without(kind, {f} if judged is None else {f, judged})
+                extra[at, place] = (blocked[bucket] + prior) / (n[bucket] + 1)
+                extra[at, place + 1] = np.log1p(n[bucket])
+        return np.column_stack([lexical(urls, hosts, paths), extra])
 
     def score(self, *columns) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(columns[0]), self.prior)
-        return self.trees.probability(self.features(*columns))
-
-
-def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = 40, depth: int = 4) -> UrlModel:
-    """``labelled``: url, label (1: block).  Suffix statistics cover every row; the trees see ``sample`` rows at most."""
-    rows = with_parts(labelled).select("url", "host", "path", F.col("label").cast("double").alias("label"), _suffix(1).alias("suffix"), _suffix(2).alias("site"))
-    statistics = {k: (np.zeros(BUCKETS), np.zeros(BUCKETS)) for k in ("suffix", "site")}
+        """Columns as in ``features``; each row by the trees of its fold."""
+        x, fold = self.features(*columns), columns[-1]
+        out = np.zeros(len(fold))
+        for f in np.unique(fold).tolist():
+            at = np.flatnonzero(fold == f)
+            out[at] = self.priors[f] if self.trees[f] is None else self.trees[f].probability(x[at])
+        return out
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, rounds: int = 40, depth: int = 4, folds: int = 1) -> UrlModel:
+    """``labelled``: url, label (1: block).  Suffix statistics cover every row; the trees see ``sample`` rows at most.
+
+    ``folds``: 1 where other URLs are judged than the labelled ones, ``FOLDS`` where the same are.
+    """
+    rows = with_parts(labelled).select(
+        "url", "host", "path", F.col("label").cast("double").alias("label"), _suffix(1).alias("suffix"), _suffix(2).alias("site"), _fold(folds).alias("fold")
+    )
+    sums, counts = ({k: np.zeros((folds, BUCKETS)) for k in ("suffix", "site")} for _ in range(2))
     kinds = F.explode(F.array(F.struct(F.lit("suffix").alias("kind"), F.col("suffix").alias("b")), F.struct(F.lit("site").alias("kind"), F.col("site").alias("b"))))
-    for r in rows.select("label", kinds.alias("x")).groupBy("x.kind", "x.b").agg(F.sum("label").alias("s"), F.count("*").alias("n")).collect():  # at most 2 * BUCKETS rows
-        statistics[r["kind"]][0][r["b"]], statistics[r["kind"]][1][r["b"]] = r["s"], r["n"]
-    total = statistics["suffix"][1].sum()
-    prior = float(statistics["suffix"][0].sum() / total) if total else 0.0
-    if not 0 < prior < 1:
-        return UrlModel(statistics, None, prior)
+    by_bucket = rows.select("label", "fold", kinds.alias("x")).groupBy("x.kind", "fold", "x.b").agg(F.sum("label").alias("s"), F.count("*").alias("n"))
+    for r in by_bucket.collect():  # at most 2 * folds * BUCKETS rows
+        sums[r["kind"]][r["fold"], r["b"]], counts[r["kind"]][r["fold"], r["b"]] = r["s"], r["n"]
+    model = UrlModel(sums, counts)
+    if not 0 < sums["suffix"].sum() < counts["suffix"].sum():
+        return model
     got = rows.orderBy(F.xxhash64("url"), "url").limit(sample).toArrow()
-    model = UrlModel(statistics, None, prior)
-    x = model.features(*(got.column(c).combine_chunks() for c in ("url", "host", "path")), got.column("suffix").to_numpy(), got.column("site").to_numpy())
-    y = got.column("label").to_numpy()
-    if 0 < y.mean() < 1:
-        model.trees = Trees.fit(x, y, rounds=rounds, depth=depth)
+    columns = [got.column(c).combine_chunks() for c in ("url", "host", "path")] + [got.column(c).to_numpy() for c in ("suffix", "site", "fold")]
+    y, fold = got.column("label").to_numpy(), columns[-1]
+    for k in range(folds):
+        others = np.flatnonzero((fold != k) | (folds == 1))
+        if len(others) and 0 < y[others].mean() < 1:
+            x = model.features(*(c.take(pa.array(others)) if isinstance(c, pa.Array) else c[others] for c in columns), judged=k)
+            model.trees[k] = Trees.fit(x, y[others], rounds=rounds, depth=depth)
     return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """One row per URL: id, host, path, rule, verdict and the model's score."""
     rows = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")))
-    rows = rows.select("id", "url", "host", "path", _suffix(1).alias("suffix"), _suffix(2).alias("site"), rule_column(rules).alias("fit"))
-    rows = rows.select("id", "url", "host", "path", "suffix", "site", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("said"))
+    rows = rows.select("id", "url", "host", "path", _suffix(1).alias("suffix"), _suffix(2).alias("site"), _fold(model.folds).alias("fold"), rule_column(rules).alias("fit"))
+    rows = rows.select("id", "url", "host", "path", "suffix", "site", "fold", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("said"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, said string, score double"
 
     def run(batch):
         col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        score = model.score(col["url"], col["host"], col["path"], col["suffix"].to_numpy(zero_copy_only=False), col["site"].to_numpy(zero_copy_only=False))
+        score = model.score(*(col[c] for c in ("url", "host", "path")), *(col[c].to_numpy(zero_copy_only=False) for c in ("suffix", "site", "fold")))
         return pa.RecordBatch.from_arrays([*(col[c] for c in ("id", "host", "path", "rule", "said")), pa.array(score)], names=["id", "host", "path", "rule", "said", "score"])
 
     out = map_arrow(rows, run, schema)

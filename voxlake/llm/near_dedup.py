@@ -10,12 +10,14 @@ any other text once, as both are the same.  So candidates are found as surely by
 Registers are banded.  Copies are folded into one node first.  Within a band's bucket every node is
 compared with the bucket's leader only, the node that shares most buckets with others (in a group of
 edited copies, the one nearest the original); nodes that this leaves apart are compared with the
-leaders of their other buckets.  Buckets that still hold several classes are split by further registers,
-each in two ways, until at most ``MINORITY`` of their nodes are outside their largest class; then those
-nodes are compared with all others of the bucket (where an exact bound lets them: bit tables of two sets
-differ in no more bits than the sets do in elements).  What is left after ``LEVELS`` splits is compared
-as it is, so that no bucket is given up.  Comparison is exact, on whole bags: a pair is linked if its
-probability Jaccard similarity (counts as weights) or its plain one (sets) is ``threshold`` or more.
+leaders of their other buckets.  In buckets that still hold several classes, a node that alone is outside
+the largest class is compared with all others of the bucket.  Nodes of the other such buckets meet by an
+exact prefix join: in an order common to all texts, rarest first, two similar texts have their first common
+shingle near the start of both, so only those that share one there are compared (further exact bounds come
+from what lies before it, and from bit tables: those of two sets differ in no more bits than the sets do in
+elements).  So no bucket is given up, and a line that many texts share makes no pairs.  Comparison is exact,
+on whole bags: a pair is linked if its probability Jaccard similarity (counts as weights) or its plain one
+(sets) is ``threshold`` or more.
 Classes are connected components.
 
 Defined cases: texts without words, and rows without an id, are alone in their class (the latter with
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
@@ -40,11 +42,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 20 bands of 5 registers: a pair at 0.8, by either measure, shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
-#: Nodes outside a bucket's largest class that are compared with all its nodes; where there are more, it is split.
-MINORITY = 64
-#: Splits of a bucket: each by two more registers, in two ways.  A pair at 0.8 lives through one with probability 0.87;
-#: if all its buckets had to be split every time, it would still meet with probability 0.98.
-LEVELS = 4
+#: Nodes outside a bucket's largest class that are compared with all its nodes; where there are more, by their prefixes.
+MINORITY = 1
 
 
 def shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +137,8 @@ def probability_similarity(x: np.ndarray, y: np.ndarray, only_a: float, only_b:
 
 
 def signatures(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS, n: int = SHINGLE) -> DataFrame:
-    """``rows``: id, text, digest.  Of texts with words: id, digest, band keys, and a byte of each register (twice as
-    many where the text repeats shingles)."""
+    """``rows``: id, text, digest.  Of texts with words: id, digest and band keys (twice as many where the text repeats
+    shingles)."""
     registers = bands * per_band
 
     def run(batch):
@@ -157,15 +156,13 @@ def signatures(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS, n: int
             order = np.argsort(who, kind="stable")
             winner = np.concatenate([plain[full], heavy])[order]
             keys = band_keys(winner, bands, per_band).view(np.int64)
-            marks = (X.mix64(winner.ravel()) >> np.uint64(56)).astype(np.uint8)
             sets = (full.astype(np.int64) + again)[full]
             ends = np.append(0, np.cumsum(sets))
             lists = pa.ListArray.from_arrays(pa.array(ends * bands, pa.int32()), pa.array(keys.reshape(-1)))
-            packed = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer((ends * registers).astype(np.int32)), pa.py_buffer(marks)])
             take = pa.array(np.flatnonzero(full))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), lists, packed], names=["id", "digest", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), lists], names=["id", "digest", "bands"])
 
-    return map_arrow(rows.select("id", "text", "digest"), run, "id long, digest binary, bands array<long>, marks binary")
+    return map_arrow(rows.select("id", "text", "digest"), run, "id long, digest binary, bands array<long>")
 
 
 #: Words of 64 bits in a node's bit table.
@@ -253,24 +250,12 @@ def verified(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(both, run, "a long, b long")
 
 
-def _sub_keys(inside: DataFrame, marks: DataFrame, level: int, registers: int) -> DataFrame:
-    """key, node, label of the buckets into which two more registers, in two ways, split those of ``inside``."""
-    place = lambda k: 1 + (3 + 6 * (4 * level + k)) % registers
-    parts = []
-    for base in (0, registers):
-        for way in (0, 2):
-            mark = F.concat(*[F.substring("marks", base + place(way + k), 1) for k in (0, 1)])
-            parts.append(F.when(F.length("marks") > base, F.xxhash64("key", F.lit(way), mark)))
-    each = inside.join(marks, "node").select("node", "label", F.explode(F.array_distinct(F.array(*parts))).alias("key"))
-    return each.where("key is not null").select("key", "node", "label")
-
-
 def _mixed(buckets: DataFrame) -> DataFrame:
-    """``buckets``: key, node, label.  Those with several labels, with the size of the rest beside the largest label."""
+    """``buckets``: key, node, label, and others.  Those with several labels, with the size of the rest beside the largest label."""
     by_label = buckets.groupBy("key", "label").agg(F.count("*").alias("n"))
     by_key = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
     several = by_key.where("labels > 1").select("key", F.col("most.label").alias("major"), (F.col("n") - F.col("most.n")).alias("rest"))
-    return buckets.join(several, "key").select("key", "node", "label", "major", "rest")
+    return buckets.join(several, "key").select(*buckets.columns, "major", "rest")
 
 
 def _pairs_inside(inside: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
@@ -282,6 +267,52 @@ def _pairs_inside(inside: DataFrame, bounds: DataFrame, threshold: float) -> Dat
     return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
+def _elements(facts: DataFrame) -> DataFrame:
+    """node, key (a shingle) and weight of all shingles of ``facts``."""
+
+    def run(batch):
+        s, c = (b"".join(v.as_buffer() for v in batch.column(k)) for k in (1, 2))
+        n, repeats = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+        weight = np.ones(int(n.sum()), np.int64)
+        weight[np.repeat(repeats, n)] = np.frombuffer(c, "<u4")
+        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.frombuffer(s, "<i8")), pa.array(weight)], names=["node", "key", "weight"])
+
+    return map_arrow(facts.select("id", "s", "c", "n", F.length("c") > 0), run, "node long, key long, weight long")
+
+
+def _prefixes(facts: DataFrame, threshold: float) -> DataFrame:
+    """key, node, n, w, left (shingles from this one on), a and b (shares of the set and of the bag before it), short.
+
+    Of two similar texts' first common shingle, in an order common to all: by either measure, neither share is above
+    the limit, and one is at most (1 - t) / (1 + t).  Shingles that one text only has come first, and make no rows.
+    """
+    each = _elements(facts)
+    shared = each.join(each.groupBy("key").agg(F.count("*").alias("often")).where("often > 1"), "key")
+    own, upto = Window.partitionBy("node"), Window.partitionBy("node").orderBy("often", "key")
+    shared = shared.select("node", "key", (F.count("*").over(own) - F.row_number().over(upto) + 1).alias("left"), (F.sum("weight").over(own) - F.sum("weight").over(upto) + F.col("weight")).alias("left_weight"))
+    sizes = facts.select(F.col("id").alias("node"), "n", "total", (F.length("c") > 0).alias("w"))
+    rows = shared.join(sizes, "node").withColumn("a", 1 - F.col("left") / F.col("n")).withColumn("b", 1 - F.col("left_weight") / F.col("total"))
+    near = (1 - threshold) / (1 + threshold) + 1e-6
+    rows = rows.where((F.col("a") <= 1 - threshold + 1e-6) | (F.col("b") <= 2 * (1 - threshold) + 1e-6))
+    return rows.select("key", "node", "n", "w", "left", "a", "b", ((F.col("a") <= near) | (F.col("b") <= near)).alias("short"))
+
+
+def _pairs_by_prefix(facts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``labels``: node, label.  Pairs (a > b) of nodes of different labels that may be similar, none left out."""
+    rows = _mixed(written(_prefixes(facts, threshold).join(labels, "node"), "prefixes"))
+    rows = written(rows.withColumn("in_major", F.col("label") == F.col("major")).drop("major", "rest"), "prefixes")
+    # Of a pair one is outside the key's largest class, and one has the key in its short prefix: both, or one each.
+    x = rows.where("not in_major").withColumn("far", ~F.col("short")).alias("x")
+    y = rows.withColumn("far", F.lit(False)).unionByName(rows.where("in_major and short").withColumn("far", F.lit(True))).alias("y")
+    once = F.col("y.in_major") | ~F.col("y.short") | (F.col("x.node") > F.col("y.node"))
+    sets = F.least("x.left", "y.left") >= threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    bags = 1 - (F.col("x.b") + F.col("y.b")) / 2 >= threshold * (1 + F.least("x.b", "y.b")) - 1e-6
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.far") == F.col("y.far"))
+    pairs = x.join(y, same & (F.col("x.label") != F.col("y.label")) & once & (sets | ((F.col("x.w") | F.col("y.w")) & bags)))
+    return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS, n: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, class_id (the class's smallest id) and kept (it is that one)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -291,7 +322,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     there, signed = one_text_per_id(there, signed)
     nodes = written(signed.groupBy("digest").agg(F.min("id").alias("node")), "nodes")
     one = signed.join(nodes.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
-    one = written(one.select(F.col("id").alias("node"), "bands", "marks"), "nodes")
+    one = written(one.select(F.col("id").alias("node"), "bands"), "nodes")
     keyed = one.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(keyed.join(sizes, "key").select("key", "node", "n"), "shared")
@@ -314,19 +345,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     apart = _apart(stars, labels)
     second = written(verified(apart.select("a", "b"), facts, threshold), "links")
     labels = _joined(labels, second)
-    # 3. Buckets that still hold several classes: split until few nodes are outside the largest one, then compared inside.
-    marks = one.select("node", "marks")
+    # 3. Buckets that still hold several classes.
     bounds = facts.select(F.col("id").alias("node"), "n", "total", (F.length("c") > 0).alias("w"), *(f"b{i}" for i in range(WORDS)))
     inside = written(_mixed(_with_label(shared.select("key", "node"), labels, "node", "label")), "mixed")
-    ready = inside.where(F.lit(False))
-    for level in range(LEVELS + 1):
-        ready = ready.union(inside if level == LEVELS else inside.where(F.col("rest") <= MINORITY))
-        large = inside.where(F.col("rest") > MINORITY)
-        if level == LEVELS or large.isEmpty():
-            break
-        inside = written(_mixed(_sub_keys(large.select("key", "node", "label"), marks, level, bands * per_band)), "mixed")
+    crowded = written(inside.where(F.col("rest") > MINORITY).select("node", "label").distinct(), "crowded")
+    rest = _pairs_inside(inside.where(F.col("rest") <= MINORITY), bounds, threshold)
+    if not crowded.isEmpty():
+        bags = written(facts.join(crowded.select(F.col("node").alias("id")), "id", "left_semi"), "crowded")
+        met = _pairs_by_prefix(bags, crowded, threshold).join(bounds.alias("x"), F.col("a") == F.col("x.node")).join(bounds.alias("y"), F.col("b") == F.col("y.node"))
+        rest = rest.union(met.where(may_be_similar(threshold)).select("a", "b")).distinct()
     told = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = _pairs_inside(ready, bounds, threshold).join(told, ["a", "b"], "left_anti")
+    rest = rest.join(told, ["a", "b"], "left_anti")
     third = written(verified(rest, facts, threshold), "links")
     labels = _joined(labels, third)
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: quality classifier, near-dedup, substring dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``.  ``run`` writes every stage's rows to the shared folder and reads them again.
+``documents``.  ``run`` writes every stage's rows to the shared folder and reads them again; a stage's own tables go with it.
 
 Defined cases: rows are told apart by ``common.keyed``, so that null and repeated ids lose no text; rows
 equal in all columns are one document.  Texts that are null or hold no word pass the first three stages by
@@ -31,7 +31,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays."""
     rows, key, _ = common.keyed(docs)
-    judged = common.written(near_duplicates(rows, id_col=key).select(key, "kept"), "classes")
+    judged = common.settled(lambda: near_duplicates(rows, id_col=key).select(key, "kept"), "classes")
     gone = judged.where("not kept").select(key)
     repeated = judged.groupBy(key).count().where("count > 1").select(key)
     touched = common.written(gone.union(repeated).distinct(), "touched")
@@ -43,14 +43,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut."""
     rows, key, _ = common.keyed(docs)
-    return cut_passages(rows, repeated_passages(rows, id_col=key), id_col=key).select(*_columns(docs))
+    passages = common.settled(lambda: repeated_passages(rows, id_col=key), "passages")
+    return cut_passages(rows, passages, id_col=key).select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 3 times)."""
     rows, key, unique = common.keyed(docs)
     other, copies = common.unused(rows.columns, "_other"), common.unused(rows.columns, "_copies")
-    taken = mix(rows, id_col=key).groupBy(F.col(key).alias(other)).agg(F.sum("copies").cast("int").alias(copies))
+    taken = common.settled(lambda: mix(rows, id_col=key).groupBy(F.col(key).alias(other)).agg(F.sum("copies").cast("int").alias(copies)), "taken")
     once = rows if unique else rows.dropDuplicates([key])
     joined = once.join(taken.where(F.col(copies) > 0), F.col(key) == F.col(other))
     return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*_columns(docs))
@@ -78,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.settled(lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
+        common.discard(*before)
+        before = [docs]
     return docs

@@ -56,3 +56,23 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_leave_only_what_their_rows_are_made_of(spark, tmp_path):
+    import os
+
+    from voxlake import storage
+
+    small_corpus(str(tmp_path), spark)
+    folder = f"{storage.shared_dir(spark)}/voxlake"
+    names = lambda: sorted(x.rsplit("-", 1)[0] for x in os.listdir(folder))
+    before, docs = names() if os.path.isdir(folder) else [], spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(P.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/left{k}")
+        docs = spark.read.parquet(f"{tmp_path}/left{k}")
+    left = names()
+    for x in before:
+        left.remove(x)
+    assert left == ["classes", "cuts", "passages", "taken", "touched"]
+    rows = P.run(spark, str(tmp_path))
+    assert rows.count() > 0 and len(names()) == len(before) + len(left) + 1

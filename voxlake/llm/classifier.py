@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import bounded_batches, map_arrow, written
+from .common import bounded_batches, discard, map_arrow, returned, written
 
 STATISTICS = (
     "log_words", "log_chars", "mean_word", "sd_word", "long_words", "upper", "digits", "symbols", "pipes", "bangs", "stops", "commas", "other_marks",
@@ -225,7 +225,10 @@ def held_out(id_col: str):
 def _fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, options: dict) -> tuple[DataFrame, QualityModel]:
     facts = written(document_statistics(docs, id_col, text_col), "statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & ~held_out("id"))
-    return facts, fit(written(facts.join(known, "id").select("x", "y"), "train"), **options)
+    train = written(facts.join(known, "id").select("x", "y"), "train")
+    model = fit(train, **options)
+    discard(train)
+    return facts, model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
@@ -243,13 +246,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, judged where they are read: no text is shuffled, and only
     the texts go through Python."""
-    _, model = _fitted(docs, labels, id_col, text_col, label_col, options)
+    facts, model = _fitted(docs, labels, id_col, text_col, label_col, options)
+    discard(facts)
     bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         rows = pa.RecordBatch.from_arrays([texts], names=["text"])
         parts = [model.score(statistics(part.column(0)).astype(np.float32).astype(np.float64)) >= threshold for part in X.slices(rows, "text")]
+        returned()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
     return docs.where(accepted(F.col(text_col).cast("string")))

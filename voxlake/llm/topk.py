@@ -22,8 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 ROW_BLOCK, QUERY_BLOCK = 8192, 512
 LEVELS = (1, 4, 16)
+#: Most tasks in which blocks meet.
+TASKS = 4096
 SCALE = 256
 _BLOB = "dim int, block long, ids binary, vectors binary"
 
@@ -48,12 +52,15 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda v: max(min(v, 2**63 - 1), -(2**63)), otypes=[np.int64])(exact) if exact.size else np.zeros(exact.shape, np.int64)
 
 
-def best_of_block(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, x: np.ndarray, k: int, levels=LEVELS):
-    """Query places, row ids and scores of each query's k best rows of the block, its own row left out."""
+def best_of_block(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, x: np.ndarray, k: int, levels=LEVELS, known: list[np.ndarray] | None = None):
+    """Query places, row ids and scores of each query's k best rows of the block, its own row left out.
+
+    ``known``: the rows' segment statistics by level, where the caller has them.
+    """
     n = len(rid)
     own = qid[:, None] == rid[None, :]
     slack = 1e-9 * (1 + np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1))
-    stats = [(segment_statistics(q, s), segment_statistics(x, s)) for s in levels]
+    stats = list(zip([segment_statistics(q, s) for s in levels], known or [segment_statistics(x, s) for s in levels], strict=True))
     bound = stats[0][0] @ stats[0][1].T
     bound[own] = -np.inf
     # Thresholds: the k-th best exact score among the rows that the coarsest bound likes best.
@@ -84,6 +91,17 @@ def best_of_block(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, x: np.ndarray
     return np.concatenate(places), np.concatenate(ids), np.concatenate(scores)
 
 
+def packed(vectors: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest of 2, 4 and 8 bytes that holds them all."""
+    largest = np.abs(vectors).max(initial=0)
+    return vectors.astype("<i2" if largest < 1 << 15 else "<i4" if largest < 1 << 31 else "<f8").tobytes()
+
+
+def unpacked(blob: bytes, rows: int, dim: int) -> np.ndarray:
+    width = len(blob) // max(rows * dim, 1)
+    return np.frombuffer(blob, {2: "<i2", 4: "<i4"}.get(width, "<f8")).reshape(rows, dim).astype(np.float64)
+
+
 def _blobs(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     """Blocks of about ``size`` rows by hash, ids and integer components packed; how many blocks."""
     n = rows.count()
@@ -92,8 +110,7 @@ def _blobs(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy().astype("<i8")
         flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        vectors = np.floor(SCALE * flat).astype("<f8")
-        return pa.table({"dim": table.column("dim")[:1], "block": table.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
+        return pa.table({"dim": table.column("dim")[:1], "block": table.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([packed(np.floor(SCALE * flat))], pa.binary())})
 
     placed = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks).cast("long")).alias("block"), "id", "v")
     return placed.groupBy("dim", "block").applyInArrow(pack, _BLOB), blocks
@@ -109,19 +126,25 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     left, n_blocks = _blobs(clean(rows), ROW_BLOCK)
     right, _ = _blobs(clean(queries).dropDuplicates(["id", "v"]), QUERY_BLOCK)
-    right = right.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    pairs = left.join(right, ["dim", "block"]).select("dim", "ids", "vectors", "q_ids", "q_vectors")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    sides = left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("block", every).withColumn("asks", F.lit(True)))
+    # A block of rows is followed by all blocks of queries.  A join of the two could be made by broadcast, which takes all these copies to the driver.
+    met = sides.repartition(min(4 * n_blocks, TASKS), "dim", "block").sortWithinPartitions("dim", "block", "asks")
 
     def run(batches):
+        place, rid, x, known = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, ids, vectors, q_ids, q_vectors = (batch.column(j)[i].as_py() for j in range(5))
-                qid, rid = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, x = np.frombuffer(q_vectors, "<f8").reshape(len(qid), dim), np.frombuffer(vectors, "<f8").reshape(len(rid), dim)
-                at, best, score = best_of_block(qid, q, rid, x, k)
-                key = np.array([zlib.crc32(r.tobytes()) for r in q], dtype=np.int64)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(key, pa.int64()), pa.array(best), pa.array(score)], names=["query_id", "key", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, key long, vec_id long, score long")
+                dim, block, ids, vectors, asks = (batch.column(j)[i].as_py() for j in range(5))
+                of = np.frombuffer(ids, "<i8")
+                v = unpacked(vectors, len(of), dim)
+                if not asks:
+                    place, rid, x, known = (dim, block), of, v, [segment_statistics(v, s) for s in LEVELS]
+                elif place == (dim, block):
+                    at, best, score = best_of_block(of, v, rid, x, k, known=known)
+                    key = np.array([zlib.crc32(r.tobytes()) for r in v], dtype=np.int64)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(of[at]), pa.array(key, pa.int64()), pa.array(best), pa.array(score)], names=["query_id", "key", "vec_id", "score"])
+
+    found = map_batches(met.select("dim", "block", "ids", "vectors", "asks"), run, "query_id long, key long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")

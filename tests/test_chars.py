@@ -95,6 +95,28 @@ def test_multisets_and_phrases(monkeypatch):
         assert thrice == [any(same(x or [], i, w) for w in range(1, 5) for i in range(len(x or []) - 3 * w + 1)) for x in lists]
 
 
+def test_words():
+    texts = ["a  b", "", None, " é ", "one"]
+    assert C.words(pa.array(["x y", *texts]).slice(1)).to_pylist() == [["a", "b"], [], [], ["é"], ["one"]]
+
+
+def test_long_batches_are_aligned_in_slices(spark, monkeypatch):
+    """Lists of a whole batch as objects of Python took most of a worker's memory."""
+    from voxlake.functions import align as E
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "bb", "كلمة", "😀"]) for _ in range(rng.choice((0, 1, 7, 30)))) for _ in range(1300)]
+    want = E.align_rows([t.split() for t in texts], [t.split() for t in texts[::-1]])
+    chars = E.align_rows([t.replace(" ", "") for t in texts], [t.replace(" ", "") for t in texts[::-1]])
+    seen = []
+    monkeypatch.setattr(E, "align_flat", lambda a, b, f=E.align_flat: seen.append(len(a[0])) or f(a, b))
+    monkeypatch.setattr(C, "_ITEMS", 2000)
+    got = E._align_words.func(pa.array(texts), pa.array(texts[::-1])).to_pylist()
+    assert [list(r.values()) for r in got] == want.tolist() and len(seen) > 10 and max(seen) <= 2000
+    got = E._align_characters.func(pa.array(texts), pa.array(texts[::-1])).to_pylist()
+    assert [list(r.values()) for r in got] == chars.tolist()
+
+
 def test_a_pass_costs_the_same_for_any_class():
     """Regular expressions took 3 microseconds of a core a character (96 s on these); look-ups must stay far below."""
     import time

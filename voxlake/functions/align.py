@@ -9,31 +9,36 @@ runs over antidiagonals, numpy over their cells and rows.  Sequences may have an
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import chars as C
+
 COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("s", "d", "i", "n")])
 #: Rows, and rows times reference units, that are aligned at once.
 _GROUP, _CELLS = 512, 1 << 16
 
 
-def _codes(refs, hyps) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Units as numbers, padded, and lengths; a text's units are its code points."""
-    n, m = np.array([len(x) for x in refs]), np.array([len(x) for x in hyps])
-    number: dict = {}
+def _flat(rows: list, number: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Units as numbers, row after row, and where each row starts; a text's units are its code points."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
+    out = np.zeros(int(at[-1]), np.int64)
+    for x, i, j in zip(rows, at[:-1], at[1:], strict=True):
+        out[i:j] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<i4") if isinstance(x, str) else [number.setdefault(t, len(number)) for t in x]
+    return out, at
 
-    def coded(x):
-        if isinstance(x, str):
-            return np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<i4")
-        return [number.setdefault(t, len(number)) for t in x]
 
-    r, h = np.full((int(n.max()), len(n)), -1, np.int32), np.full((int(m.max()), len(n)), -2, np.int32)
-    for k, (a, b) in enumerate(zip(refs, hyps, strict=True)):
-        r[: n[k], k] = coded(a)
-        h[: m[k], k] = coded(b)
-    return r, h, n, m
+def _padded(items: np.ndarray, at: np.ndarray, rows: np.ndarray, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows as columns, filled up, and their lengths."""
+    n = at[rows + 1] - at[rows]
+    out = np.full((int(n.max()), len(rows)), fill, np.int32)
+    column = np.repeat(np.arange(len(rows)), n)
+    step = np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n)
+    out[step, column] = items[at[rows][column] + step]
+    return out, n
 
 
 def _ends(r: np.ndarray, h: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,26 +67,68 @@ def _ends(r: np.ndarray, h: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[n
     return end >> bits, end & ((1 << bits) - 1)
 
 
-def align_rows(refs: list, hyps: list) -> np.ndarray:
-    """Substitutions, deletions, insertions and reference units of each pair of sequences."""
-    out = np.zeros((len(refs), 4), np.int64)
-    size = np.array([[len(a), len(b)] for a, b in zip(refs, hyps, strict=True)], np.int64).reshape(-1, 2)
-    order = np.lexsort((size[:, 1], size[:, 0]))[::-1]
+def align_flat(ref: tuple[np.ndarray, np.ndarray], hyp: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """``align_rows`` of sequences of numbers (0 or more), each side row after row with where each row starts."""
+    n, m = np.diff(ref[1]), np.diff(hyp[1])
+    out = np.zeros((len(n), 4), np.int64)
+    order = np.lexsort((m, n))[::-1]
     at = 0
     while at < len(order):
-        part = order[at : at + min(_GROUP, max(1, _CELLS // (int(size[order[at], 0]) + 1)))]
+        part = order[at : at + min(_GROUP, max(1, _CELLS // (int(n[order[at]]) + 1)))]
         at += len(part)
-        r, h, n, m = _codes([refs[k] for k in part], [hyps[k] for k in part])
-        cost, inserted = _ends(r, h, n, m)
-        deleted = inserted + n - m
-        out[part] = np.column_stack([cost - inserted - deleted, deleted, inserted, n])
+        (r, rows), (h, cols) = _padded(*ref, part, -1), _padded(*hyp, part, -2)
+        cost, inserted = _ends(r, h, rows, cols)
+        deleted = inserted + rows - cols
+        out[part] = np.column_stack([cost - inserted - deleted, deleted, inserted, rows])
     return out
 
 
-@F.pandas_udf(COUNTS)
-def _align(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-    units = lambda x: [] if x is None else x if isinstance(x, str) else list(x)
-    return pd.DataFrame(align_rows([units(x) for x in refs], [units(x) for x in hyps]), columns=["s", "d", "i", "n"])
+def align_rows(refs: list, hyps: list) -> np.ndarray:
+    """Substitutions, deletions, insertions and reference units of each pair of sequences."""
+    number: dict = {}
+    return align_flat(_flat(refs, number), _flat(hyps, number))
+
+
+def _numbered(refs: pa.Array, hyps: pa.Array):
+    """Slices of both sides as numbers; a null is an empty sequence, and null items are all alike."""
+    if not pa.types.is_string(refs.type) and not pa.types.is_large_string(refs.type):
+        for sides, _ in C.lists(refs, hyps):
+            yield tuple((items + 1, at) for items, at in sides)
+        return
+    for a in range(0, len(refs), _GROUP):
+        yield tuple(_joined([t for t, _ in C.texts(side.slice(a, _GROUP))]) for side in (refs, hyps))
+
+
+def _joined(parts: list[C.Texts]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.concatenate([np.diff(t.at) for t in parts])
+    return np.concatenate([t.codes.astype(np.int64) for t in parts]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+@F.arrow_udf(COUNTS)
+def _align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    """In slices, so that a batch of rows of any length is never held as objects of Python."""
+    found = np.concatenate([np.zeros((0, 4), np.int64), *(align_flat(*sides) for sides in _numbered(refs, hyps))])
+    return pa.StructArray.from_arrays([pa.array(found[:, k].copy()) for k in range(4)], names=list("sdin"))
+
+
+@F.arrow_udf(COUNTS)
+def _align_words(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    return _align.func(C.words(refs), C.words(hyps))
+
+
+@F.arrow_udf(COUNTS)
+def _align_characters(refs: pa.Array, hyps: pa.Array) -> pa.Array:
+    return _align.func(*(pc.replace_substring(x, " ", "") for x in (refs, hyps)))
+
+
+def word_edit_counts(reference: Column, hypothesis: Column) -> Column:
+    """``edit_counts`` of the words of two texts, blanks between them: split where they are aligned, in one pass with what made them."""
+    return _align_words(reference, hypothesis)
+
+
+def character_edit_counts(reference: Column, hypothesis: Column) -> Column:
+    """``edit_counts`` of two texts' code points without blanks."""
+    return _align_characters(reference, hypothesis)
 
 
 def edit_counts(reference: Column, hypothesis: Column) -> Column:
@@ -89,11 +136,6 @@ def edit_counts(reference: Column, hypothesis: Column) -> Column:
     return _align(reference, hypothesis)
 
 
-def characters(text: Column) -> Column:
-    """A text without its blanks, whose units are its code points."""
-    return F.regexp_replace(text, " ", "")
-
-
 def rate(s: Column, d: Column, i: Column, n: Column) -> Column:
     """Null without units and insertions, 1 without units; else errors over units."""
     return F.when((n == 0) & (i == 0), F.lit(None).cast("double")).when(n == 0, 1.0).otherwise((s + d + i) / n)

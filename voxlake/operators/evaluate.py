@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import align as E
 from voxlake.functions import text as X
+from voxlake.storage import bounded_batches, written
 
 #: The error metrics, each a struct<s,d,i,n> of a row.
 ERROR_METRICS = ("wer_raw", "wer_normalized", "cer_raw", "cer_normalized", "arabic_token_wer", "english_token_wer")
@@ -27,24 +28,29 @@ def language_tokens(tokens: Column, kind: str) -> Column:
     return F.filter(tokens, lambda t: X.classify_token(t) == kind)
 
 
-def prediction_facts(predictions: DataFrame, metrics: tuple[str, ...] = ERROR_METRICS) -> DataFrame:
-    """``predictions``: sample_id, reference, hypothesis, audio_seconds, processing_seconds, silent.  One row each."""
+def prediction_facts(predictions: DataFrame, metrics: tuple[str, ...] = ERROR_METRICS, more: tuple[Column, ...] = ()) -> DataFrame:
+    """``predictions``: sample_id, reference, hypothesis, audio_seconds, processing_seconds, silent.  One row each.
+
+    ``more``: further columns, of those of ``normalized``.
+    """
+    bounded_batches(predictions.sparkSession)
     rows = normalized(predictions)
     ref, hyp = F.col("_reference"), F.col("_hypothesis")
     rt, ht = F.col("_reference_tokens"), F.col("_hypothesis_tokens")
-    pairs = {
-        "wer_raw": (X.tokens(F.col("_reference_raw")), X.tokens(F.col("_hypothesis_raw"))), "wer_normalized": (rt, ht),
-        "cer_raw": (E.characters(F.col("_reference_raw")), E.characters(F.col("_hypothesis_raw"))), "cer_normalized": (E.characters(ref), E.characters(hyp)),
-        "arabic_token_wer": (language_tokens(rt, X.AR_ONLY), language_tokens(ht, X.AR_ONLY)), "english_token_wer": (language_tokens(rt, X.EN_ONLY), language_tokens(ht, X.EN_ONLY)),
+    raw = (F.col("_reference_raw"), F.col("_hypothesis_raw"))
+    tokens_of = lambda kind: (language_tokens(rt, kind), language_tokens(ht, kind))
+    counts = {
+        "wer_raw": E.word_edit_counts(*raw), "wer_normalized": E.word_edit_counts(ref, hyp), "cer_raw": E.character_edit_counts(*raw), "cer_normalized": E.character_edit_counts(ref, hyp),
+        "arabic_token_wer": E.edit_counts(*tokens_of(X.AR_ONLY)), "english_token_wer": E.edit_counts(*tokens_of(X.EN_ONLY)),
     }
     english_ref, english_hyp = X.english_terms(ref), X.english_terms(hyp)
     numbers_ref, numbers_hyp = X.canonical_numbers(F.coalesce("reference", F.lit(""))), X.canonical_numbers(F.coalesce("hypothesis", F.lit("")))
     rows = rows.withColumns({"_er": english_ref, "_eh": english_hyp, "_nr": numbers_ref, "_nh": numbers_hyp, "_stats": X.token_stats(ref)})
     return rows.select(
-        "sample_id", "audio_seconds", "processing_seconds", *(E.edit_counts(*pairs[m]).alias(m) for m in metrics), X.category(F.col("_stats")).alias("category"),
+        "sample_id", "audio_seconds", "processing_seconds", *(counts[m].alias(m) for m in metrics), X.category(F.col("_stats")).alias("category"),
         F.struct(X.common_count(F.col("_er"), F.col("_eh")).alias("matched"), F.size("_er").cast("long").alias("reference")).alias("english_term_recall"),
         F.struct(X.common_count(F.col("_nr"), F.col("_nh")).alias("matched"), F.size("_nr").cast("long").alias("reference")).alias("number_accuracy"),
-        _reasons(ref, hyp, ht).alias("reasons"),
+        _reasons(ref, hyp, ht).alias("reasons"), *more,
     )
 
 
@@ -89,7 +95,8 @@ def category_buckets(facts: DataFrame) -> DataFrame:
 
 
 def reason_histogram(facts: DataFrame) -> DataFrame:
-    return facts.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    reasons = written(facts.select("reasons"), "reasons")  # an explode of what Python returns would compute it twice
+    return reasons.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def check_timings(predictions: DataFrame) -> None:

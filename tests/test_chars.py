@@ -125,3 +125,17 @@ def test_a_pass_costs_the_same_for_any_class():
     began = time.process_time()
     C.mapped(text, lambda t, valid: C.struct(C.token_stats(C.fold(C.nfkc(t))), valid), pa.null())
     assert time.process_time() - began < 30
+
+
+def test_workers_need_no_pandas():
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import sys, numpy as np, pyarrow as pa; from voxlake.functions import text as X, align as E; s = 'a b aé ١'.encode();"
+        "a = pa.StringArray.from_buffers(2, pa.py_buffer(np.array([0, 5, len(s)], np.int32).tobytes()), pa.py_buffer(s));"
+        "n = X._audit_normalize.func(a); w = X.C.words(n); X._token_stats.func(n); X._character_counts.func(a); X._bigram_numbers.func(a); X._common_count.func(w, w);"
+        "X._has_surplus.func(w, w); X._thrice(4).func(w); E._align_words.func(n, n); E._align_characters.func(n, n); assert 'pandas' not in sys.modules"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

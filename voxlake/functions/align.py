@@ -108,7 +108,7 @@ def _joined(parts: list[C.Texts]) -> tuple[np.ndarray, np.ndarray]:
 def _align(refs: pa.Array, hyps: pa.Array) -> pa.Array:
     """In slices, so that a batch of rows of any length is never held as objects of Python."""
     found = np.concatenate([np.zeros((0, 4), np.int64), *(align_flat(*sides) for sides in _numbered(refs, hyps))])
-    return pa.StructArray.from_arrays([pa.array(found[:, k].copy()) for k in range(4)], names=list("sdin"))
+    return pa.StructArray.from_arrays([C.longs(found[:, k]) for k in range(4)], names=list("sdin"))
 
 
 @F.arrow_udf(COUNTS)
